@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on: UTC dates (coerce_date), AQE for runtime
 # re-planning (broadcast conversion, partition coalescing, skew splits).
@@ -36,6 +36,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if master and master.startswith("local"):
+        # Local mode runs every task inside the driver JVM.
+        b = b.config("spark.driver.memory", os.environ.get("TEXTRISK_DRIVER_MEMORY", "16g"))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     configure(spark)
@@ -68,3 +71,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-path of the shared checkpoint folder for written intermediates."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and continue from there.
+
+    Used where a result is read several times (prepared tokens, topic words,
+    window counts): the lineage is cut, the plan stays small, and a lost
+    executor re-reads the files instead of recomputing the whole chain.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
