@@ -1 +1,89 @@
-"""Driver queries."""
+"""Driver queries for the supervised baselines (E*) and fitted topic
+assignment (F11-F13, F20). Model fits are checked by rows only; folds and
+the training-fold TF-IDF term table are checked against SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from textrisk.operators import baselines as B
+from textrisk.operators import clustering as K
+from textrisk.operators import evaluate as E
+from textrisk.plans import sqlfrag as Q
+from textrisk.plans.evaluation import lex_hit
+from textrisk.plans.registry import query
+from textrisk.sources.readers import table
+
+K_FOLDS, SEED, MAX_FEATURES = 5, 42, 5000
+
+
+def labelled_docs(spark, sf):
+    labels = table(spark, sf, "labels", ["doc_id", "toxic"]).where(F.col("toxic").isNotNull())
+    docs = table(spark, sf, "documents", ["doc_id", "text"])
+    return labels.join(docs, "doc_id", "inner")
+
+
+_FOLD_SQL = f"""(row_number() OVER (PARTITION BY toxic ORDER BY md5(CAST(doc_id AS VARCHAR) || '-{SEED}'), doc_id) - 1)
+                % {K_FOLDS}"""
+
+
+@query("stratified_folds", "E1", f"""
+SELECT doc_id, toxic, CAST({_FOLD_SQL} AS INTEGER) AS fold FROM labels WHERE toxic IS NOT NULL""")
+def stratified_folds(spark, sf):
+    labels = table(spark, sf, "labels", ["doc_id", "toxic"]).where(F.col("toxic").isNotNull())
+    return B.stratified_folds(labels, "doc_id", "toxic", K_FOLDS, SEED).select("doc_id", "toxic", "fold")
+
+
+@query("tfidf_train_fold", "E2", f"""
+WITH ld AS (SELECT l.doc_id, l.toxic, d.text FROM labels l JOIN documents d USING (doc_id) WHERE l.toxic IS NOT NULL),
+f AS (SELECT *, {_FOLD_SQL} AS fold FROM ld),
+tr AS (SELECT doc_id, {Q.analyzer_tokens("coalesce(text, '')")} AS t FROM f WHERE fold <> 0),
+terms AS (SELECT doc_id, list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS terms
+          FROM tr),
+dt AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM terms) GROUP BY 1, 2),
+dic AS (SELECT term, count(*) AS n_docs, CAST(sum(tf) AS BIGINT) AS n_total FROM dt GROUP BY term),
+n AS (SELECT count(*) AS n FROM tr)
+SELECT term, n_docs, n_total, round(ln((1 + n) / (1 + n_docs)) + 1, 6) AS idf
+FROM dic, n ORDER BY n_total DESC, term LIMIT {MAX_FEATURES}""")
+def tfidf_train_fold(spark, sf):
+    folds = B.stratified_folds(labelled_docs(spark, sf), "doc_id", "toxic", K_FOLDS, SEED)
+    train = B.with_terms(folds.where(F.col("fold") != 0), "text")
+    vocab = B.tfidf_vocabulary(train, "doc_id", "terms", MAX_FEATURES)
+    return vocab.select("term", "n_docs", "n_total", F.round("idf", 6).alias("idf"))
+
+
+@query("oof_logreg", "E3, E4, H2")
+def oof_logreg(spark, sf):
+    oof = B.out_of_fold(labelled_docs(spark, sf), "doc_id", "toxic", "text", K_FOLDS, SEED, ["TF-IDF + LR"],
+                        MAX_FEATURES)
+    return oof.select("doc_id", "fold", "gold", "pred")
+
+
+@query("oof_compare", "E5, D8")
+def oof_compare(spark, sf):
+    ld = labelled_docs(spark, sf)
+    learners = list(B.LEARNERS)
+    oof = B.out_of_fold(ld, "doc_id", "toxic", "text", K_FOLDS, SEED, learners, MAX_FEATURES)
+    wide = E.to_wide(oof.select("doc_id", "gold", "learner", F.col("pred").alias("label")),
+                     ["doc_id", "gold"], learners, "learner")
+    outside = ld.select("doc_id", lex_hit().alias("lexicon rule"))
+    wide = wide.join(outside, "doc_id", "inner")
+    models = [(n, F.col(f"`{n}`")) for n in learners] + [("lexicon rule", F.col("`lexicon rule`"))]
+    return E.metrics_table(wide, "gold", models, constant_baseline=True)
+
+
+def _vectors(spark, sf):
+    emb = table(spark, sf, "embeddings", ["vec_id", "embedding"])
+    return K.document_vectors(emb, "embedding")
+
+
+@query("topic_assign", "F11, F12, F13")
+def topic_assign(spark, sf):
+    return K.topic_assign(_vectors(spark, sf), "vec_id", "vector", n_clusters=10, min_cluster_size=30, seed=SEED)
+
+
+@query("seed_sweep", "F20, D16")
+def seed_sweep(spark, sf):
+    seeds = K.draw_seeds(5, exclude=SEED)
+    runs = K.sweep_seeds(_vectors(spark, sf), "vec_id", "vector", seeds, n_clusters=10, min_cluster_size=30)
+    return runs.select("seed", "n_topics", "outlier_ratio", "n_non_outlier", "n_docs")
