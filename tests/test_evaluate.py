@@ -1,0 +1,91 @@
+"""Evaluation aggregates against the published metrics (golden values)."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from textrisk.operators import evaluate as E
+
+
+def _expand(spark, cells, name="m"):
+    """(tn, fp, fn, tp) -> rows (gold, pred)."""
+    tn, fp, fn, tp = cells
+    rows = [(0, 0)] * tn + [(0, 1)] * fp + [(1, 0)] * fn + [(1, 1)] * tp
+    return spark.createDataFrame([(i, g, p) for i, (g, p) in enumerate(rows)], f"id long, gold int, {name} int")
+
+
+GOLDEN = {
+    "GPT-4.1": ((227, 18, 21, 119), (0.898701, 0.868613, 0.85, 0.859206, 0.780113)),
+    "GPT-3.5-turbo": ((228, 17, 47, 93), (0.833766, 0.845455, 0.664286, 0.744, 0.623529)),
+    "Claude Sonnet 4.6": ((187, 58, 6, 134), (0.833766, 0.697917, 0.957143, 0.807229, 0.667297)),
+    "Gemini 2.5 Pro": ((180, 65, 7, 133), (0.812987, 0.671717, 0.95, 0.786982, 0.628866)),
+    "TF-IDF + LR": ((196, 49, 60, 80), (0.7168831168831169, 0.6201550387596899, 0.5714285714285714,
+                                         0.5947955390334573, 0.3777893098079917)),
+    "BERTweet": ((178, 67, 23, 117), (0.766234, 0.635870, 0.835714, 0.722222, 0.526769)),
+    "RoBERTa": ((207, 38, 26, 114), (0.833766, 0.75, 0.814286, 0.780822, 0.647295)),
+}
+
+
+@pytest.mark.parametrize("model", list(GOLDEN))
+def test_published_metrics(spark, model):
+    cells, expected = GOLDEN[model]
+    df = _expand(spark, cells)
+    out = E.metrics_table(df, "gold", [(model, "m")]).orderBy("ord").collect()
+    got = out[0]
+    assert (got.tn, got.fp, got.fn, got.tp) == cells
+    for k, v in zip(["accuracy", "precision", "recall", "f1", "kappa"], expected):
+        assert got[k] == pytest.approx(v, abs=5e-7)
+    base = out[1]
+    assert base.model == "All positive"
+    assert (base.accuracy, base.precision, base.recall) == pytest.approx((140 / 385, 140 / 385, 1.0))
+    assert base.f1 == pytest.approx(0.533333, abs=5e-7) and base.kappa == pytest.approx(0.0, abs=1e-12)
+
+
+def test_coder_kappa(spark):
+    # both-0 237, A0B1 2, A1B0 26, both-1 120
+    df = _expand(spark, (237, 2, 26, 120)).withColumnRenamed("gold", "a").withColumnRenamed("m", "b")
+    k = E.kappa_table(df, "a", "b").collect()[0]
+    assert k.kappa == pytest.approx(0.840428681390254, abs=1e-12)
+    assert k.n_used == 385
+
+
+def test_prevalence(spark):
+    df = _expand(spark, (227, 18, 21, 119))
+    p = E.prevalence(E.to_long(df.select("id", "gold"), ["id"], ["gold"])).collect()[0]
+    assert (p.positives, p.n) == (140, 385) and p.share == pytest.approx(140 / 385)
+
+
+def test_zero_division_gives_zero(spark):
+    df = _expand(spark, (10, 0, 5, 0))
+    got = E.metrics_table(df, "gold", [("none", "m")], constant_baseline=False).collect()[0]
+    assert (got.precision, got.recall, got.f1) == (0.0, 0.0, 0.0)
+
+
+def test_constant_equal_raters_kappa_null(spark):
+    df = spark.createDataFrame([(1, 1), (1, 1), (1, 1)], "a int, b int")
+    assert E.kappa_table(df, "a", "b").collect()[0].kappa is None
+
+
+def test_label_distribution_nulls_out(spark):
+    df = spark.createDataFrame([(1, 1), (2, 0), (3, None), (4, 1)], "id long, label int")
+    d = E.label_distribution(df.withColumn("model", F.lit("x"))).collect()[0]
+    assert (d.risk, d.non_risk, d.total) == (2, 1, 3)
+    assert d.risk_pct == pytest.approx(66.6666667, abs=1e-6)
+
+
+def test_agreement_pairwise_nulls(spark):
+    df = spark.createDataFrame([(1, 1, 1), (2, 0, 1), (3, None, 0), (4, 1, 1)], "id long, a int, b int")
+    r = E.pairwise_agreement(df, [("a", "b")]).collect()[0]
+    assert (r.n_used, r.n_changed) == (3, 1) and r.agreement == pytest.approx(2 / 3)
+
+
+def test_mean_sd_ddof1(spark):
+    df = spark.createDataFrame([("f1", 1.0), ("f1", 2.0), ("f1", 4.0)], "metric string, value double")
+    r = E.mean_sd(df, ["metric"], "value").collect()[0]
+    assert r["mean"] == pytest.approx(7 / 3) and r["sd"] == pytest.approx(1.5275252316519468)
+
+
+def test_multiclass_kappa_topics(spark):
+    a = [4, 5, 1, 5, 2, 3, 3, 1, 5, 4, 1, 1, 1, 1, 1, 5, 3, 5, 3, 3, 1, 5, 5, 3, 4, 1, 2, 3, 5, 5, 1, 4, 5]
+    b = [4, 5, 1, 5, 2, 3, 3, 5, 5, 4, 5, 1, 4, 1, 1, 5, 3, 5, 3, 3, 1, 5, 5, 3, 4, 4, 2, 3, 5, 5, 1, 5, 1]
+    df = spark.createDataFrame(list(zip(a, b)), "a int, b int")
+    assert E.kappa_table(df, "a", "b").collect()[0].kappa == pytest.approx(0.760290557, abs=1e-9)

@@ -1,0 +1,56 @@
+"""Significance tests and intervals against published values and brute force."""
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from textrisk.functions.stats import mcnemar_exact_p, python_mcnemar_p, significance_marker, wilson_interval
+from textrisk.operators.significance import mcnemar_pairs
+
+PUBLISHED = [((47, 66), 0.0899543, "n.s."), ((27, 72), 6.9007e-6, "***"), ((24, 94), 5.5604e-11, "***"),
+             ((13, 39), 0.000409541, "***"), ((19, 70), 4.9575e-8, "***"), ((27, 52), 0.00655330, "**"),
+             ((0, 0), 1.0, "n.s.")]
+
+
+def test_mcnemar_published(spark):
+    df = spark.createDataFrame([(b, c) for (b, c), _, _ in PUBLISHED], "b long, c long")
+    out = df.select(mcnemar_exact_p("b", "c").alias("p")).withColumn("sig", significance_marker("p")).collect()
+    for row, (_, p, sig) in zip(out, PUBLISHED):
+        assert row.p == pytest.approx(p, rel=1e-4)
+        assert row.sig == sig
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 300), st.integers(0, 300)), min_size=1, max_size=5))
+def test_mcnemar_equals_exact_sum(spark, pairs):
+    df = spark.createDataFrame(pairs, "b long, c long")
+    got = [r.p for r in df.select(mcnemar_exact_p("b", "c").alias("p")).collect()]
+    for g, (b, c) in zip(got, pairs):
+        assert g == pytest.approx(python_mcnemar_p(b, c), rel=1e-9, abs=1e-300)
+
+
+def test_mcnemar_large_counts_finite(spark):
+    df = spark.createDataFrame([(400000, 401000)], "b long, c long")
+    p = df.select(mcnemar_exact_p("b", "c").alias("p")).collect()[0].p
+    assert 0.0 < p < 1.0
+
+
+def test_discordance_pairs(spark):
+    rows = [(1, 1, 1), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 0)]
+    df = spark.createDataFrame(rows, "gold int, a int, b int")
+    r = mcnemar_pairs(df, "gold", [("a", "b")]).collect()[0]
+    assert (r.both_correct, r.a_only_correct, r.b_only_correct, r.both_wrong) == (1, 2, 1, 1)
+
+
+def test_wilson_audit(spark):
+    df = spark.createDataFrame([(6, 100)], "k long, n long")
+    lo, hi = wilson_interval("k", "n")
+    r = df.select(lo.alias("lo"), hi.alias("hi")).collect()[0]
+    assert r.lo == pytest.approx(0.027786124, abs=1e-9) and r.hi == pytest.approx(0.124768154, abs=1e-9)
+
+
+def test_wilson_zero_n_is_null(spark):
+    df = spark.createDataFrame([(0, 0)], "k long, n long")
+    lo, _ = wilson_interval("k", "n")
+    assert df.select(F.try_add(lo, F.lit(0.0)).alias("x")).collect()[0].x is None

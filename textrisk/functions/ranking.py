@@ -36,16 +36,20 @@ def rank_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[s
     before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(
         Window.unboundedPreceding, -1)
     stats = stats.withColumn("_offset", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
-    out = ranged.join(stats.select("_pid", *group_cols, "_offset", "_first"),
-                      on=["_pid", *group_cols], how="inner")
+    st = stats.select(F.col("_pid").alias("_spid"), *[F.col(g).alias(f"_s_{g}") for g in group_cols],
+                      "_offset", "_first")
+    # Null-safe on the group columns: a null key is a group of its own.
+    cond = [ranged["_pid"] == st["_spid"]] + [ranged[g].eqNullSafe(st[f"_s_{g}"]) for g in group_cols]
+    out = ranged.join(st, cond, "inner")
     return (out.withColumn(rank_col, (F.col("_offset") + F.col("_mid") - F.col("_first") + 1).cast("long"))
-            .drop("_pid", "_mid", "_offset", "_first", "_cnt"))
+            .drop("_pid", "_mid", "_offset", "_first", "_spid", *[f"_s_{g}" for g in group_cols]))
 
 
 def next_in_group(df: DataFrame, group_cols: Sequence[str], rank_col: str,
                   value_cols: Sequence[str], prefix: str = "next_") -> DataFrame:
     """Attach the values of the following row (rank + 1) of the same group by an
     equi-join on (group, rank): a lag/lead that shuffles by rank, not by group."""
-    nxt = df.select(*group_cols, (F.col(rank_col) - 1).alias(rank_col),
+    nxt = df.select(*[F.col(g).alias(f"_n_{g}") for g in group_cols], (F.col(rank_col) - 1).alias("_n_rank"),
                     *[F.col(v).alias(prefix + v) for v in value_cols])
-    return df.join(nxt, on=[*group_cols, rank_col], how="left")
+    cond = [df[rank_col] == nxt["_n_rank"]] + [df[g].eqNullSafe(nxt[f"_n_{g}"]) for g in group_cols]
+    return df.join(nxt, cond, "left").drop("_n_rank", *[f"_n_{g}" for g in group_cols])

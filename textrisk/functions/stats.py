@@ -70,7 +70,8 @@ def significance_marker(p: Column | str) -> Column:
 
 def wilson_interval(k: Column | str, n: Column | str, z: float = Z_95) -> tuple[Column, Column]:
     """Wilson score interval for k successes in n trials."""
-    k, n = col(k).cast("double"), col(n).cast("double")
+    k = col(k).cast("double")
+    n = F.when(col(n) > 0, col(n).cast("double"))  # no trials -> null interval
     p = divnull(k, n)
     z2 = z * z
     denom = 1.0 + z2 / n
