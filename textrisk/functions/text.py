@@ -91,13 +91,17 @@ def keyword_matches(c: Column, stems: Sequence[str]) -> Column:
 
 def clean_for_topics(c: Column) -> Column:
     """URL -> space; @mention/#tag -> space; non-ASCII-letter -> space;
-    lower; collapse white space; trim."""
+    lower; collapse white space; trim.
+
+    The last four steps are one replacement here: every character that is
+    not an ASCII letter ends up as a space and runs of spaces collapse, so
+    each maximal run of non-letters becomes one space. Lower-casing after
+    that touches ASCII only (the fast path). The oracle SQL spells out the
+    four steps separately, which checks the equivalence.
+    """
     t = F.regexp_replace(null_to_empty(c), URL_BODY, " ")
     t = F.regexp_replace(t, MENTION_TAG_BODY, " ")
-    t = F.regexp_replace(t, f"[^A-Za-z{WS}]", " ")
-    t = F.lower(t)
-    t = F.regexp_replace(t, f"[{WS}]+", " ")
-    return F.trim(t)
+    return F.trim(F.lower(F.regexp_replace(t, "[^A-Za-z]+", " ")))
 
 
 def analyzer_tokens(c: Column) -> Column:

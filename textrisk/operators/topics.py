@@ -53,12 +53,21 @@ def class_term_counts(docs: DataFrame, topic_col: str, order_col: str, text_col:
 
 
 def class_tfidf(counts: DataFrame, bm25: bool = True, reduce_frequent: bool = True) -> DataFrame:
-    """weight per (topic, term). Totals come from aggregates joined back
-    (a window per class would put a whole class in one task)."""
+    """weight per (topic, term).
+
+    f(t) is a window over the term: its group holds one row per class that
+    uses the term (at most the number of classes), so one shuffle by term
+    serves both the sum and the weight. Class totals are an aggregate with
+    one row per class, joined back (a window per class would put a whole
+    class vocabulary in one task).
+    """
     per_topic = counts.groupBy("topic").agg(F.sum("count").alias("_total"))
-    per_term = counts.groupBy("term").agg(F.sum("count").alias("_f"))
     avg = per_topic.agg(F.floor(F.avg("_total")).cast("long").alias("_A"))
-    j = counts.join(per_topic, "topic").join(per_term, "term").crossJoin(avg)
+    # One row per class: bounded by the number of topics (the clustering's k
+    # plus the outlier class), never by the data -- broadcast, so no task is
+    # handed a whole class by a hash join on the class key.
+    j = (counts.withColumn("_f", F.sum("count").over(Window.partitionBy("term")))
+         .join(F.broadcast(per_topic), "topic").crossJoin(F.broadcast(avg)))
     tf = divnull(F.col("count"), F.col("_total"))
     if reduce_frequent:
         tf = F.sqrt(tf)

@@ -138,3 +138,23 @@ def screen_by_lang_df(spark, sf):
 
 
 query("screen_by_lang", "B3-B10 (flagship)", _BY_LANG_SQL)(screen_by_lang_df)
+
+
+@query("stream_screen_candidates", "B3-B10 as Structured Streaming (availableNow)", _candidates_sql(TEST_LEXICON))
+def stream_screen_candidates(spark, sf):
+    """The screening run as a stream over the `documents` files: every file
+    not yet processed is screened, then the job stops. Each build uses a
+    fresh output folder under the shared checkpoint folder."""
+    import os
+    import uuid
+
+    from textrisk.session import checkpoint_dir
+    from textrisk.streaming.screen_stream import screen_stream
+    src = os.path.join(sf, "documents.parquet")
+    schema = spark.read.parquet(src).select("doc_id", "text", "lang", "source").schema
+    out = os.path.join(checkpoint_dir(spark), f"stream-documents-{uuid.uuid4().hex}")
+    cand, _ = screen_stream(spark, src, schema, "text", "doc_id", out, TEST_LEXICON, "documents")
+    res = spark.read.parquet(cand)
+    return res.select("doc_id", "lang", "source", "text",
+                      F.array_join("matched_keywords", "|").alias("matched_keywords"),
+                      F.size("matched_keywords").cast("long").alias("n_matches"))

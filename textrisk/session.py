@@ -15,6 +15,9 @@ _BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Unicode lower-casing through the JDK tables instead of ICU: same
+    # mappings for text, several times faster on non-ASCII strings.
+    "spark.sql.icu.caseMappings.enabled": "false",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     # A scorer call must not be made twice for one row (see operators.scoring).
@@ -47,7 +50,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply runtime SQL settings to a session the caller already owns."""
-    for k in ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled"):
+    for k in ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled",
+              "spark.sql.icu.caseMappings.enabled"):
         spark.conf.set(k, _BASE_CONF[k])
     return spark
 

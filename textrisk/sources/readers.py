@@ -14,10 +14,33 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+TEXT_COLUMNS = ("text", "html")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, cols: Sequence[str] | None = None) -> DataFrame:
-    """A driver table; selecting ``cols`` here makes the scan read only them."""
+    """A driver table; selecting ``cols`` here makes the scan read only them.
+    Reads that carry a text column are spread over the cores (see ``spread``)."""
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    return df.select(*cols) if cols else df
+    df = df.select(*cols) if cols else df
+    if any(c in df.columns for c in TEXT_COLUMNS):
+        df = spread(df, df.columns[0])
+    return df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition by ``key`` when the source arrives in fewer splits than
+    there are cores (one big row group, a few large files).
+
+    Text cleaning and regex matching are CPU-bound row-wise work, so a source
+    read as one task would run on one core. On a cluster reading many files
+    the split count already exceeds the cores and nothing changes -- no
+    shuffle is added. Hashing by the key (not round-robin) keeps the
+    placement deterministic for task retries.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
 
 
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
