@@ -95,8 +95,9 @@ def metrics_table(wide: DataFrame, gold_col: str, models: Sequence[tuple[str, Co
     conf = with_binary_metrics(confusion_counts(long, "gold", "label", ["_mid"]))
     names = wide.sparkSession.createDataFrame(
         [(f"_m{i}", i + 1, name) for i, (name, _) in enumerate(items)], "_mid string, ord int, model string")
-    # Right side: every model, also one that had no usable row.
-    return (conf.join(F.broadcast(names), "_mid", "right")
+    # Every model appears, also one without a usable row; both sides have one
+    # row per model (a parameter list), so the cell table is broadcast.
+    return (names.join(F.broadcast(conf), "_mid", "left")
             .select("ord", "model", *[F.coalesce(F.col(c), F.lit(0)).alias(c)
                                       for c in ("tn", "fp", "fn", "tp", "n_used")],
                     "accuracy", "precision", "recall", "f1", "kappa"))

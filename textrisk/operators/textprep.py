@@ -50,8 +50,12 @@ def lemma_tokens(cleaned: Column, pairs: Sequence[tuple[str, str]] | None = None
     stop = list(topic_stopwords() if stopwords is None else stopwords)
     toks = F.filter(F.split(cleaned, " "), lambda t: t != "")
     if pairs:
+        # Hash-set test first (InSet); only dictionary forms pay for the
+        # map lookup, every other token passes through unchanged.
         lm = _lemma_map(pairs)
-        toks = F.transform(toks, lambda t: F.lower(F.trim(F.coalesce(F.element_at(lm, t), t))))
+        forms = [f for f, _ in pairs]
+        toks = F.transform(toks, lambda t: F.when(t.isin(forms), F.lower(F.trim(F.try_element_at(lm, t))))
+                           .otherwise(F.lower(F.trim(t))))
     return F.filter(toks, lambda t: (t != "") & t.rlike(r"^\p{L}+$") & ~t.isin(stop))
 
 

@@ -46,9 +46,14 @@ def rows_of(cols, records):
 def main():
     args = sys.argv[1:]
     sf = args[0] if args and os.path.isdir(args[0]) else "/root/testdata/sf0.01"
-    names = [a for a in args if not os.path.isdir(a)]
+    plain = "--plain" in args
+    names = [a for a in args if not os.path.isdir(a) and a != "--plain"]
     reg = load_all()
-    spark = get_session("local[8]", 8)
+    if plain:  # a session with Spark's defaults only, as an outside caller may pass
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[8]").getOrCreate()
+    else:
+        spark = get_session("local[8]", 8)
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
