@@ -338,3 +338,45 @@ SELECT topic, CAST(rank AS BIGINT) AS rank, vec_id, round(score, 6) AS score FRO
 def representative_docs(spark, sf):
     out = TP.representative_docs(label_scores(spark, sf), "vec_id", "score", 3)
     return out.select("topic", F.col("rank").cast("long").alias("rank"), "vec_id", r6("score").alias("score"))
+
+
+# ------------------------------------------------------------------ F14 + F16-F18 (one sweep row)
+def model_row(spark, sf):
+    """The sensitivity row of one topic assignment: topics, outlier ratio,
+    C_V, C_NPMI and diversity -- parts computed once and joined (1 row each)."""
+    prep = prepared(spark, sf)
+    texts = prep.select("doc_id", P.ngram_analyze(F.col("finalized")).alias("terms"))
+    tw = topic_words(spark, sf, prep)
+    cnt = TP.topic_counts(prep)
+    npmi = CO.coherence_npmi(texts, tw, 10).agg(F.first("model_coherence").alias("c_npmi"))
+    cv = CO.coherence_cv(texts, tw, 110).agg(F.first("model_coherence").alias("c_v"))
+    div = TP.topic_diversity(tw.withColumn("rank", F.lit(1)))
+    return (cnt.crossJoin(npmi).crossJoin(cv).crossJoin(div.select("topic_diversity"))
+            .select("n_topics", r6("outlier_ratio").alias("outlier_ratio"), r6("c_v").alias("c_v"),
+                    r6("c_npmi").alias("c_npmi"), r6("topic_diversity").alias("topic_diversity")))
+
+
+def _model_row_sql():
+    npmi = _coherence_sql(10, False) + """,
+per AS (SELECT topic, avg(npmi) AS coherence FROM m GROUP BY topic)
+SELECT avg(coherence) FROM per"""
+    cv = _coherence_sql(110, True) + """,
+s AS (SELECT topic, wj, sum(npmi) AS s FROM m GROUP BY topic, wj),
+ns AS (SELECT topic, sqrt(sum(s * s)) AS ns FROM s GROUP BY topic),
+pw AS (SELECT m.topic, m.wi, sum(m.npmi * s.s) AS dot, sqrt(sum(m.npmi * m.npmi)) AS nu
+       FROM m JOIN s USING (topic, wj) GROUP BY m.topic, m.wi),
+cs AS (SELECT pw.topic, dot / (nu * ns) AS cos FROM pw JOIN ns USING (topic)),
+per AS (SELECT topic, avg(cos) AS coherence FROM cs GROUP BY topic)
+SELECT avg(coherence) FROM per"""
+    div = "WITH " + _ctfidf_sql().strip() + """
+SELECT coalesce(count(DISTINCT term) / nullif(count(term), 0), 0) FROM top"""
+    cnt = "WITH " + _prep_sql().strip() + """
+SELECT count(DISTINCT CASE WHEN topic <> -1 THEN topic END) AS n_topics,
+       avg(CASE WHEN topic = -1 THEN 1.0 ELSE 0.0 END) AS outlier_ratio FROM prep"""
+    return f"""
+WITH c AS ({cnt})
+SELECT c.n_topics, round(c.outlier_ratio, 6) AS outlier_ratio, round(({cv}), 6) AS c_v,
+       round(({npmi}), 6) AS c_npmi, round(({div}), 6) AS topic_diversity FROM c"""
+
+
+query("topic_model_metrics", "F14, F16, F17, F18 (sensitivity row)", _model_row_sql())(model_row)
