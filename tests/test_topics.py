@@ -172,3 +172,23 @@ def test_rank_within_equals_row_number(spark):
     w = Window.partitionBy("g").orderBy("k", "id")
     exp = {r.id: r.rn for r in df.withColumn("rn", F.row_number().over(w)).collect()}
     assert got == exp
+
+
+def test_sweep_metrics_equals_single_assignment_row(spark):
+    """Shared window counts over (setting, topic) keys give the same row as
+    the stand-alone computation for one assignment (checked against SQL in
+    the driver tests)."""
+    from textrisk.operators.clustering import sweep_metrics
+    from textrisk.plans.registry import load_all
+    from textrisk.plans.topics import prepared
+    sf = "/root/testdata/sf0.001"
+    prep = prepared(spark, sf)
+    asg = prep.select(F.lit(7).alias("setting"), "doc_id", "topic")
+    asg2 = prep.select(F.lit(8).alias("setting"), "doc_id", F.lit(-1).alias("topic"))
+    got = {r.setting: r for r in sweep_metrics(prep, asg.unionByName(asg2), [7, 8]).collect()}
+    exp = load_all()["topic_model_metrics"].build(spark, sf).collect()[0]
+    g = got[7]
+    assert g.n_topics == exp.n_topics
+    for k in ("outlier_ratio", "c_v", "c_npmi", "topic_diversity"):
+        assert round(g[k], 6) == pytest.approx(exp[k], abs=1e-6), k
+    assert got[8].n_topics == 0 and got[8].outlier_ratio == 1.0 and got[8].topic_diversity == 0.0

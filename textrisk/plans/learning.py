@@ -1,5 +1,5 @@
 """Driver queries for the supervised baselines (E*) and fitted topic
-assignment (F11-F13, F20). Model fits are checked by rows only; folds and
+assignment and sweeps (F11-F14, F16-F20). Model fits are checked by rows only; folds and
 the training-fold TF-IDF term table are checked against SQL."""
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from textrisk.operators import evaluate as E
 from textrisk.plans import sqlfrag as Q
 from textrisk.plans.evaluation import lex_hit
 from textrisk.plans.registry import query
+from textrisk.plans.topics import prepared
+from textrisk.session import materialize
 from textrisk.sources.readers import table
 
 K_FOLDS, SEED, MAX_FEATURES = 5, 42, 5000
@@ -87,3 +89,41 @@ def seed_sweep(spark, sf):
     seeds = K.draw_seeds(5, exclude=SEED)
     runs = K.sweep_seeds(_vectors(spark, sf), "vec_id", "vector", seeds, n_clusters=10, min_cluster_size=30)
     return runs.select("seed", "n_topics", "outlier_ratio", "n_non_outlier", "n_docs")
+
+
+# ------------------------------------------------------------------ F19, F20 on fitted topics
+SIZES = [50, 60, 70, 80, 90, 100]
+
+
+def _doc_clusters(spark, sf, n_clusters, seeds):
+    """Prepared documents, hashed tf-idf vectors, PCA(5), one k-means per seed."""
+    prep = prepared(spark, sf)
+    reduced = K.reduce_dims(K.text_vectors(prep.select("doc_id", "tokens"), "tokens"), "vector", 5)
+    reduced = materialize(reduced.select("doc_id", "reduced"))
+    return prep, {s: K.cluster(reduced, "reduced", n_clusters, s) for s in seeds}
+
+
+@query("topic_model_sweep", "F11-F14, F16-F19 (fitted, min size sweep)")
+def topic_model_sweep(spark, sf):
+    """Cluster the documents once, then for every minimum size: small
+    clusters -> outliers, renumber, and report topics, outlier ratio, C_V,
+    C_NPMI and diversity."""
+    prep, clusters = _doc_clusters(spark, sf, 12, [SEED])
+    asg = K.assignments_by_min_size(clusters[SEED], "doc_id", SIZES)
+    out = K.sweep_metrics(prep, asg, SIZES)
+    return out.withColumnRenamed("setting", "min_cluster_size")
+
+
+@query("topic_seed_sweep", "F20 (fitted, seeds), D16")
+def topic_seed_sweep(spark, sf):
+    """Five k-means seeds besides the primary one at a fixed minimum size,
+    each with the full metric row."""
+    seeds = K.draw_seeds(5, exclude=SEED)
+    prep, clusters = _doc_clusters(spark, sf, 12, seeds)
+    parts = []
+    for s in seeds:
+        parts.append(K.assign_topics(clusters[s], "doc_id", 90).withColumn("setting", F.lit(s)))
+    asg = parts[0]
+    for p in parts[1:]:
+        asg = asg.unionByName(p)
+    return K.sweep_metrics(prep, asg, seeds).withColumnRenamed("setting", "seed")
