@@ -126,3 +126,12 @@ def test_random_word_counts_equal_python():
     for _ in range(50):
         s = "".join(rnd.choice(" \t ab\n") for _ in range(rnd.randint(0, 12)))
         assert T.python_split_words(s) == s.split()
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.text(alphabet=list("ab \t\n 　x"), max_size=30), min_size=1, max_size=6),
+       st.integers(0, 6))
+def test_has_min_words_equals_split(spark, texts, n):
+    df = _df(spark, texts)
+    got = _col(df.select("id", T.has_min_words(F.col("text"), n).alias("ok")), "ok")
+    assert got == [len(t.split()) >= n for t in texts]

@@ -75,6 +75,16 @@ def word_count(c: Column) -> Column:
     return F.size(F.filter(F.split(c, f"[{WS}]+"), lambda w: w != "")).cast("long")
 
 
+def has_min_words(c: Column, n: int) -> Column:
+    """``len(str.split()) >= n`` without splitting: an anchored match of n
+    words reads only the start of the text (the two classes are disjoint,
+    so there is no backtracking blow-up). The oracle counts by splitting."""
+    if n <= 0:
+        return F.lit(True)
+    word, sp = f"[^{WS}]+", f"[{WS}]+"
+    return c.rlike(f"^[{WS}]*(?:{word}{sp}){{{n - 1}}}{word}")
+
+
 def strip_symbols(c: Column) -> Column:
     return F.regexp_replace(c, f"[{SYMBOL_RANGES}]+", "")
 

@@ -57,7 +57,7 @@ def dedup_first(df: DataFrame, key_cols: Sequence[str], order_col: str | Sequenc
 
 def min_words(df: DataFrame, text_col: str, n: int = 5) -> DataFrame:
     """Keep rows with at least ``n`` whitespace words (raw text)."""
-    return df.where(T.word_count(F.col(text_col)) >= n)
+    return df.where(T.has_min_words(F.col(text_col), n))
 
 
 def rewrite_text(df: DataFrame, text_col: str) -> DataFrame:
@@ -123,7 +123,7 @@ def screen_funnel(df: DataFrame, text_col: str, stems: Sequence[str] = KEYWORD_S
     per_text = (df.select(t)
                 .groupBy("_t").agg(F.count(F.lit(1)).alias("_rows"))
                 .withColumn("_url", T.is_url_only(F.col("_t")))
-                .withColumn("_long", T.word_count(F.col("_t")) >= 5)
+                .withColumn("_long", T.has_min_words(F.col("_t"), 5))
                 .withColumn("_hit", F.size(T.keyword_matches(
                     T.dashes_to_space(T.strip_symbols(F.col("_t"))), stems)) > 0))
     tot = per_text.agg(

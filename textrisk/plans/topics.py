@@ -9,6 +9,8 @@ Topic assignments that SQL can reproduce:
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -34,12 +36,26 @@ def source_topic(c="source"):
     return F.when(F.col(c) == "src0", F.lit(-1)).otherwise(F.substring(F.col(c), 4, 8).try_cast("int"))
 
 
+_WRITTEN: dict[tuple, object] = {}
+
+
+def _source_key(spark, sf, what):
+    path = os.path.join(sf, "documents.parquet")
+    stamp = os.path.getmtime(path) if os.path.exists(path) else None
+    return (spark.sparkContext.applicationId, os.path.abspath(sf), stamp, what)
+
+
 def prepared(spark, sf):
     """Prepared rows (cleaned, de-duplicated, tokens, finalized), written once
-    to the shared checkpoint folder and re-read by every later step."""
-    docs = table(spark, sf, "documents", ["doc_id", "text", "source"])
-    docs = docs.select("doc_id", "text", source_topic().alias("topic"))
-    return materialize(P.prepare_topic_text(docs, "text", "doc_id").drop("text"))
+    per session and source to the shared checkpoint folder; every later
+    topic query of the session reads those files instead of preparing the
+    text again (keyed by application, folder and file time)."""
+    key = _source_key(spark, sf, "prepared")
+    if key not in _WRITTEN:
+        docs = table(spark, sf, "documents", ["doc_id", "text", "source"])
+        docs = docs.select("doc_id", "text", source_topic().alias("topic"))
+        _WRITTEN[key] = materialize(P.prepare_topic_text(docs, "text", "doc_id").drop("text"))
+    return _WRITTEN[key]
 
 
 def analyzed(spark, sf):
@@ -53,8 +69,12 @@ def class_weights(spark, sf, prep=None):
 
 
 def topic_words(spark, sf, prep=None):
-    """Top words of every non-outlier topic, materialised (small, reused)."""
-    return materialize(TP.top_terms(class_weights(spark, sf, prep), TOP_N).select("topic", "term"))
+    """Top words of every non-outlier topic, written once per session and
+    source (small, reused by coherence and diversity)."""
+    key = _source_key(spark, sf, "topic_words")
+    if key not in _WRITTEN:
+        _WRITTEN[key] = materialize(TP.top_terms(class_weights(spark, sf, prep), TOP_N).select("topic", "term"))
+    return _WRITTEN[key]
 
 
 # ------------------------------------------------------------------ SQL chain

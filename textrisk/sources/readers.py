@@ -17,33 +17,44 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 TEXT_COLUMNS = ("text", "html")
 
 
+_SPREAD: dict[tuple, DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, cols: Sequence[str] | None = None) -> DataFrame:
     """A driver table; selecting ``cols`` here makes the scan read only them.
     Reads that carry a text column are spread over the cores (see ``spread``)."""
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    df = spark.read.parquet(path)
     df = df.select(*cols) if cols else df
     if any(c in df.columns for c in TEXT_COLUMNS):
-        df = spread(df, df.columns[0])
+        stamp = os.path.getmtime(path) if os.path.exists(path) else None
+        key = (spark.sparkContext.applicationId, os.path.abspath(path), stamp, tuple(df.columns))
+        if key not in _SPREAD:
+            _SPREAD[key] = spread(df, df.columns[0])
+        df = _SPREAD[key]
     return df
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition by ``key`` when the source arrives in fewer splits than
-    there are cores (one big row group, a few large files).
-
-    Text cleaning and regex matching are CPU-bound row-wise work, so a source
-    read as one task would run on one core. On a cluster reading many files
-    the split count already exceeds the cores and nothing changes -- no
-    shuffle is added. Hashing by the key (not round-robin) keeps the
-    placement deterministic for task retries.
+    """Spread a text source over the cores when it arrives in fewer splits
+    than there are cores (one big row group, a few large files).
+
+    Text cleaning and regex matching are CPU-bound row-wise work. A source
+    read as one task would run on one core -- and Catalyst pushes row filters
+    (URL-only, word count, keyword match: all functions of the text) below a
+    plain repartition, back into that task. So the rows are hash-partitioned
+    by ``key`` and written once to the shared checkpoint folder; later plans
+    start from the written, evenly split copy. On a cluster reading many
+    files the split count already exceeds the cores and nothing is added.
     """
+    from textrisk.session import materialize
     try:
         cores = df.sparkSession.sparkContext.defaultParallelism
         if df.rdd.getNumPartitions() >= cores:
             return df
     except Exception:  # noqa: BLE001 -- no RDD view (remote session): leave as read
         return df
-    return df.repartition(cores, key)
+    return materialize(df.repartition(cores, key))
 
 
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -37,7 +37,7 @@ def _row_stages(df: DataFrame, text_col: str) -> DataFrame:
     raw = TX.null_to_empty(text_col)
     return (df.withColumn(text_col, raw)
             .where(~TX.is_url_only(F.col(text_col)))
-            .where(TX.word_count(F.col(text_col)) >= 5)
+            .where(TX.has_min_words(F.col(text_col), 5))
             .withColumn("_raw_key", F.sha2(F.col(text_col), 256))
             .withColumn(text_col, TX.dashes_to_space(TX.strip_symbols(F.col(text_col)))))
 
