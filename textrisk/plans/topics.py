@@ -63,9 +63,13 @@ def analyzed(spark, sf):
 
 
 def class_weights(spark, sf, prep=None):
-    prep = prepared(spark, sf) if prep is None else prep
-    counts = TP.class_term_counts(prep, "topic", "doc_id", "finalized")
-    return TP.class_tfidf(counts)
+    """c-TF-IDF weights; the class-term counts are written once per session
+    and source (they already pass through the shared folder)."""
+    key = _source_key(spark, sf, "class_counts")
+    if key not in _WRITTEN:
+        prep = prepared(spark, sf) if prep is None else prep
+        _WRITTEN[key] = TP.class_term_counts(prep, "topic", "doc_id", "finalized")
+    return TP.class_tfidf(_WRITTEN[key])
 
 
 def topic_words(spark, sf, prep=None):
