@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textrisk.functions.stats import binary_metrics, div0, divnull
+from textrisk.functions.stats import binary_metrics, divnull
 
 
 def to_long(df: DataFrame, id_cols: Sequence[str], model_cols: Sequence[str],
@@ -159,4 +159,4 @@ def mean_sd(long: DataFrame, group_cols: Sequence[str], value_col: str) -> DataF
 
 __all__ = ["to_long", "to_wide", "prevalence", "label_distribution", "confusion_counts",
            "with_binary_metrics", "confusion_normalised", "metrics_table", "kappa_table",
-           "pairwise_agreement", "mean_sd", "div0"]
+           "pairwise_agreement", "mean_sd"]

@@ -11,10 +11,8 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from textrisk.functions import text as T
 from textrisk.lexicons import lemma_pairs, topic_stopwords
 from textrisk.operators import coherence as CO
 from textrisk.operators import textprep as P
