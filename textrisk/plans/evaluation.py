@@ -42,10 +42,12 @@ def lex_hit(text_col="text"):
 def eval_frame(spark, sf):
     """labels joined to documents with the rule predictions (one row per label row)."""
     labels = table(spark, sf, "labels", ["doc_id", "quality", "toxic"])
-    docs = table(spark, sf, "documents", ["doc_id", "text", "n_chars", "source", "lang"])
+    # The text rule is evaluated on the documents side, so a join that has
+    # to shuffle moves (doc_id, flags), never the text itself.
+    docs = (table(spark, sf, "documents", ["doc_id", "text", "n_chars", "source", "lang"])
+            .select("doc_id", "n_chars", "source", "lang", lex_hit().alias("lex_rule")))
     j = labels.join(docs, "doc_id", "inner")
-    return j.select("doc_id", "source", "lang", F.col("toxic").alias("gold"), "quality",
-                    lex_hit().alias("lex_rule"),
+    return j.select("doc_id", "source", "lang", F.col("toxic").alias("gold"), "quality", "lex_rule",
                     F.when(F.col("n_chars") > 200, 1).otherwise(0).alias("long_rule"),
                     F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0).alias("src_rule"),
                     F.when(F.col("quality") == 0, 1).otherwise(0).alias("lowq_rule"))
@@ -106,9 +108,9 @@ SELECT model, risk, non_risk, risk + non_risk AS total,
 
 @query("label_distribution", "D7, A5", _DIST_SQL)
 def label_distribution(spark, sf):
-    docs = table(spark, sf, "documents", ["doc_id", "text"])
+    docs = table(spark, sf, "documents", ["doc_id", "text"]).select("doc_id", lex_hit().alias("lex_rule"))
     labels = table(spark, sf, "labels", ["doc_id", "quality", "toxic"])
-    w = docs.join(labels, "doc_id", "left").select("doc_id", "toxic", "quality", lex_hit().alias("lex_rule"))
+    w = docs.join(labels, "doc_id", "left").select("doc_id", "toxic", "quality", "lex_rule")
     out = E.label_distribution(E.to_long(w, ["doc_id"], ["toxic", "quality", "lex_rule"]))
     return out.withColumn("risk_pct", r6("risk_pct")).withColumn("non_risk_pct", r6("non_risk_pct"))
 
@@ -243,11 +245,10 @@ FROM c"""
 
 @query("agreement_pairs", "D13, D14, C8", _agreement_sql())
 def agreement_pairs(spark, sf):
-    docs = table(spark, sf, "documents", ["doc_id", "text", "n_chars"])
+    docs = table(spark, sf, "documents", ["doc_id", "text", "n_chars"]).select(
+        "doc_id", lex_hit().alias("lex_rule"), F.when(F.col("n_chars") > 200, 1).otherwise(0).alias("long_rule"))
     labels = table(spark, sf, "labels", ["doc_id", "quality", "toxic"])
-    w = docs.join(labels, "doc_id", "left").select(
-        "doc_id", "toxic", "quality", lex_hit().alias("lex_rule"),
-        F.when(F.col("n_chars") > 200, 1).otherwise(0).alias("long_rule"))
+    w = docs.join(labels, "doc_id", "left").select("doc_id", "toxic", "quality", "lex_rule", "long_rule")
     out = E.pairwise_agreement(w, RUN_PAIRS)
     return out.withColumn("agreement", r6("agreement")).withColumn("kappa", r6("kappa"))
 
