@@ -48,3 +48,13 @@ def test_require_and_present_columns(spark):
         require_columns(df, ["id", "content", "username"])
     assert present_columns(df, ["content", "gpt", "id"]) == (["content", "id"], ["gpt"])
     assert df.select(F.lit(1)).count() == 1
+
+
+def test_spread_only_when_fewer_splits_than_cores(spark):
+    from textrisk.sources.readers import spread
+    cores = spark.sparkContext.defaultParallelism
+    many = spark.range(1000).repartition(cores * 2).withColumnRenamed("id", "doc_id")
+    assert spread(many, "doc_id") is many
+    one = spark.range(1000).coalesce(1).withColumnRenamed("id", "doc_id")
+    out = spread(one, "doc_id")
+    assert out.rdd.getNumPartitions() >= min(cores, 2) and out.count() == 1000
