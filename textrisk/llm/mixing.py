@@ -6,8 +6,8 @@ them again costs more each time (convex costs 0, 1, 2, ...), so the flow from
 patterns to source quotas repeats as little as it can. Of each pattern's flow,
 whole readings go to all its documents; the rest goes to documents chosen in
 seeded hash order, and inside the one hash bucket where the rest runs out, first
-fit in that order, so a pattern misses its flow by less than the smallest
-document left in that bucket.
+fit in that order and an exact subset sum over its last documents, so a pattern
+comes within a few words of its flow.
 
 Driver and single tasks hold patterns and one bucket (about ``BUCKET_DOCS``
 documents, split by hash), never a pattern's documents. The number of patterns
@@ -34,6 +34,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
 BUCKET_DOCS = 1000
+SOLVED = 200
 MAX_PATTERNS = 100_000
 
 
@@ -106,15 +107,28 @@ def route(patterns: list[tuple[tuple, int]], quotas: dict, repeats: int) -> list
     return taken
 
 
-def _first_fit(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket in seeded order, each document that still fits the rest."""
+def fill(sizes: Sequence[int], left: int) -> list[int]:
+    """Which of ``sizes`` (in seeded order) to take so that their sum comes as near
+    below ``left`` as the last ``SOLVED`` of them allow: first fit over the others,
+    then an exact subset sum (bit i of ``reach`` says that the sum i is reachable)."""
+    taken, split = [0] * len(sizes), max(0, len(sizes) - SOLVED)
+    for i in range(split):
+        if 0 < sizes[i] <= left:
+            taken[i], left = 1, left - sizes[i]
+    mask, reach = (1 << (left + 1)) - 1, [1]
+    for size in sizes[split:]:
+        reach.append(reach[-1] | ((reach[-1] << size) & mask) if 0 < size <= left else reach[-1])
+    total = reach[-1].bit_length() - 1
+    for i in range(len(sizes) - 1, split - 1, -1):
+        if not reach[i - split] >> total & 1:
+            taken[i], total = 1, total - sizes[i]
+    return taken
+
+
+def _fill_bucket(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values(["_mx_hash", "_mx_id", "_mx_size"], kind="stable")
-    left, extra = int(rows["_mx_left"].iloc[0]) if len(rows) else 0, []
-    for size in rows["_mx_size"]:
-        fits = 0 < size <= left
-        extra.append(int(fits))
-        left -= int(size) * fits
-    return rows.assign(_mx_extra=extra)[["_mx_row", "_mx_extra"]]
+    left = int(rows["_mx_left"].iloc[0]) if len(rows) else 0
+    return rows.assign(_mx_extra=fill(rows["_mx_size"].tolist(), left))[["_mx_row", "_mx_extra"]]
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -161,7 +175,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = both.join(F.broadcast(cut), "_mx_pattern", "left")
     edge = placed.where(F.col("_mx_bucket") == F.col("_mx_cut")).select(
         "_mx_pattern", "_mx_row", "_mx_id", "_mx_hash", "_mx_size", "_mx_left")
-    fit = edge.groupBy("_mx_pattern").applyInPandas(_first_fit, "_mx_row long, _mx_extra long")
+    fit = edge.groupBy("_mx_pattern").applyInPandas(_fill_bucket, "_mx_row long, _mx_extra long")
     full = (F.col("_mx_bucket") < F.col("_mx_cut")).cast("long")
     out = placed.join(fit, "_mx_row", "left")
     times = F.when(F.col("_mx_size") > 0, F.col("_mx_whole") + F.coalesce("_mx_extra", full, F.lit(0))).otherwise(0)

@@ -40,10 +40,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 OP10_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
-           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
   FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-        ELSE list_distinct(list_transform(range(1, len(ws) - 3), i -> array_to_string(ws[i:i+4], ' '))) END AS sh
+        ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) END AS sh
       FROM w),
 n AS (SELECT doc_id, len(sh) AS n FROM s),
 e AS (SELECT doc_id, unnest(sh) AS t FROM s),
