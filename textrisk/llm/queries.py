@@ -13,6 +13,8 @@ from textrisk.llm.jaccard_join import op10_ngram_jaccard_join
 from textrisk.llm.langid import op7_language_id
 from textrisk.llm.mixing import op9_mix_sources
 from textrisk.llm.packing import op6_best_fit_packing
+from textrisk.llm.secrets import op3_secret_scan
+from textrisk.llm.url_filter import op4_url_filter
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +33,8 @@ FROM t
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_secret_scan": op3_secret_scan,
+    "op4_url_filter": op4_url_filter,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_language_id": op7_language_id,
     "op9_mix_sources": op9_mix_sources,
