@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from textrisk.llm.common import table
 from textrisk.llm.exact_dedup import dedup_classes
+from textrisk.llm.fingerprints import op5_document_fingerprints
+from textrisk.llm.html_text import op2_html_extraction
 from textrisk.llm.jaccard_join import op10_ngram_jaccard_join
 from textrisk.llm.langid import op7_language_id
 from textrisk.llm.mixing import op9_mix_sources
@@ -33,8 +35,10 @@ FROM t
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_html_extraction": op2_html_extraction,
     "op3_secret_scan": op3_secret_scan,
     "op4_url_filter": op4_url_filter,
+    "op5_document_fingerprints": op5_document_fingerprints,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_language_id": op7_language_id,
     "op9_mix_sources": op9_mix_sources,
