@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,3 +52,10 @@ def lower_ascii(c: Column) -> Column:
 def words(c: Column) -> Column:
     """Array of the words of ``c`` (null: empty array)."""
     return F.filter(F.split(F.coalesce(c, F.lit("")), SPACE), lambda w: w != "")
+
+
+def worker_cache(name: str) -> dict:
+    """A dictionary that outlives the task in a reused Python worker. (Functions are
+    pickled by value, so module globals are new in every task.)"""
+    holder = sys.modules.setdefault("_textrisk_worker", types.ModuleType("_textrisk_worker"))
+    return holder.__dict__.setdefault(name, {})

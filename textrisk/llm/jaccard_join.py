@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textrisk.llm.common import lower_ascii, table, written
+from textrisk.llm.common import lower_ascii, table, worker_cache, written
 
 N = 5
 PERCENT = 75
@@ -49,9 +49,7 @@ SAMPLE_DOCS = 10_000
 FREQUENT = 10  # documents of the sample
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
-CACHE_WORDS = 500_000
-
-_WORDS: dict[str, int] = {}
+CACHE_WORDS = 300_000
 
 
 def _word_hash(word: str) -> int:
@@ -63,12 +61,13 @@ def shingles(text: str | None, n: int = N) -> np.ndarray:
     found = WORD.findall(text or "")
     if not found:
         return np.empty(0, dtype=np.uint64)
-    if len(_WORDS) > CACHE_WORDS:
-        _WORDS.clear()
+    known = worker_cache("word-hashes")
+    if len(known) > CACHE_WORDS:
+        known.clear()
     for w in set(found):
-        if w not in _WORDS:
-            _WORDS[w] = _word_hash(w)
-    h = np.fromiter(map(_WORDS.__getitem__, found), dtype=np.uint64, count=len(found))
+        if w not in known:
+            known[w] = _word_hash(w)
+    h = np.fromiter(map(known.__getitem__, found), dtype=np.uint64, count=len(found))
     width = min(n, len(h))
     out = np.full(len(h) - width + 1, len(h) if len(h) < n else n, dtype=np.uint64)
     with np.errstate(over="ignore"):

@@ -20,6 +20,8 @@ empty results.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -29,51 +31,75 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textrisk.llm.common import table, written
+from textrisk.llm.common import table, worker_cache, written
 
 CAPACITY = 4096
 END_ID = 1
-CACHE_WORDS = 400_000  # per Python worker; a full cache is emptied, results do not change
+CACHE_WORDS = 250_000  # per Python worker; a full cache is emptied, results do not change
+TEXTS = 100  # texts tokenised at a time
 TOKENIZER = "word_bpe_49k.json"
 
-_CACHE: dict[str, dict] = {}
-
-
 class WordTokenizer:
-    """Ids of whole texts from ids of their space-separated pieces.
+    """Ids of whole texts from ids of their parts.
 
-    The tokenizer drops white space and never joins characters across it, so a
-    text's ids are those of its words in order; each word is encoded once per
-    worker. Only space and newline split here, anything else is left to it.
+    The tokenizer drops white space and never joins characters across it, so a text's
+    ids are those of its words in order (only space and newline split here, anything
+    else is left to it). A word in Latin-1 without apostrophe or <| further falls into
+    runs of letters, single digits and runs of other signs, as in the tokenizer's own
+    pre-tokenisation; these parts are encoded once per worker.
     """
 
+    PART = re.compile(r"[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[\d\xb2\xb3\xb9\xbc-\xbe]|(?:[^\w\s]|_)+")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        self.encoder, self.known = Tokenizer.from_file(path), {}
+        self.encoder, self.words, self.parts = Tokenizer.from_file(path), {}, {}
+
+    def split(self, word: str) -> list[str]:
+        plain = word.isprintable() and max(word, default="") < "\u0100" and "'" not in word and "<|" not in word
+        return self.PART.findall(word.lower()) if plain else [word]
+
+    def learn(self, new: list[str]) -> None:
+        """Encode unseen parts: those of one pre-token in one string, told apart by
+        their number in it, any others each for itself."""
+        single = [p for p in new if self.PART.fullmatch(p) and p.isprintable() and max(p) < "\u0100" and "<|" not in p]
+        if single:
+            code = self.encoder.encode(" ".join(single), add_special_tokens=False)
+            ids, at = np.array(code.ids, dtype="<u4"), np.array(code.word_ids)
+            ends = np.searchsorted(at, np.arange(len(single)), side="right")
+            for p, a, b in zip(single, [0, *ends], ends, strict=False):
+                self.parts[p] = ids[a:b].tobytes()
+        rest = [p for p in new if p not in self.parts]
+        for p, e in zip(rest, self.encoder.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.parts[p] = np.array(e.ids, dtype="<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = [w for w in set().union(*split) if w not in known]
-        for w, e in zip(new, self.encoder.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return [np.frombuffer(b"".join(map(known.__getitem__, ws)), dtype="<u4") for ws in split]
+        words, parts = self.words, self.parts
+        if len(words) > CACHE_WORDS:
+            words.clear()
+        if len(parts) > CACHE_WORDS:
+            parts.clear()
+            words.clear()
+        found = {w: self.split(w) for w in set().union(*split) if w not in words}
+        self.learn([p for p in set().union(*found.values()) if p not in parts])
+        for w, ps in found.items():
+            words[w] = b"".join([parts[p] for p in ps])
+        return [np.frombuffer(b"".join(map(words.__getitem__, ws)), dtype="<u4") for ws in split]
 
 
 def tokenizer(path: str) -> WordTokenizer:
     """One tokenizer per worker; ``path`` is a file, or a name that the public
     tokenizers' package resolves on the executor."""
-    if path not in _CACHE:
-        import os
+    cache = worker_cache("tokenizers")
+    if path not in cache:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         if "/" in path:
-            _CACHE[path] = WordTokenizer(path)
+            cache[path] = WordTokenizer(path)
         else:
             import public_tokenizers
-            _CACHE[path] = WordTokenizer(str(public_tokenizers.path(path)))
-    return _CACHE[path]
+            cache[path] = WordTokenizer(str(public_tokenizers.path(path)))
+    return cache[path]
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
@@ -85,7 +111,7 @@ def cut_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros(capacity + 1, dtype=np.int64)
         encode, end = tokenizer(tokenizer_file), np.array([end_id], dtype="<u4")
-        for frame in frames:
+        for frame in (f.iloc[a:a + TEXTS] for f in frames for a in range(0, len(f), TEXTS)):
             out = []
             for doc, part, ids in zip(frame["i"], frame["p"], encode(frame["t"].tolist()), strict=True):
                 ids = np.concatenate([ids, end])
