@@ -13,6 +13,7 @@ from textrisk.llm.fingerprints import op5_document_fingerprints
 from textrisk.llm.html_text import op2_html_extraction
 from textrisk.llm.jaccard_join import op10_ngram_jaccard_join
 from textrisk.llm.langid import op7_language_id
+from textrisk.llm.licenses import op8_license_scan
 from textrisk.llm.mixing import op9_mix_sources
 from textrisk.llm.packing import op6_best_fit_packing
 from textrisk.llm.secrets import op3_secret_scan
@@ -41,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_document_fingerprints": op5_document_fingerprints,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_language_id": op7_language_id,
+    "op8_license_scan": op8_license_scan,
     "op9_mix_sources": op9_mix_sources,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
