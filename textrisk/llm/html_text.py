@@ -1,8 +1,10 @@
 """Main text of web pages by the maximum-scoring subsequence.
 
-A page is a sequence of words and tags. A word scores +1; a tag scores below zero,
-the more the larger the share of its occurrences outside the content of labelled
-pages (pages that mark their article; the article element is the label). One linear
+A page is a sequence of words and tags. On labelled pages (those that mark their
+article; the article element is the label) we count, for every kind of tag and of block
+around a word, how much of it is content. A word scores above zero, up to 1, by the share
+of content among the words in such blocks; a tag scores below zero, the more the larger
+its share outside content. One linear
 scan finds the contiguous region of the largest sum. Inside the region, elements that
 never hold main text (menus, forms, notices, comments, ...) are left out; block elements
 separate blocks.
@@ -31,6 +33,7 @@ from textrisk.llm.common import table
 MAX_PAGES = 2000
 MAX_TAGS = 2000
 INSIDE = 0.02  # cost of a tag that occurs only inside content
+LEAST = 0.01  # score of a word in blocks that never hold content
 OUTSIDE = 40.0  # additional cost of one that occurs only outside
 CONTENT = ("article", "main")
 
@@ -71,38 +74,63 @@ def feature(kind: str, name: str, names: str) -> str:
     return f"/{name}" if kind == "close" else f"{name}.{names.split()[0].lower()}" if names.strip() else name
 
 
+class Around:
+    """The block elements around the current place of a page."""
+
+    def __init__(self):
+        self.open: list[tuple[str, str]] = []
+
+    def move(self, kind: str, name: str, names: str) -> None:
+        if name not in BLOCKS or name in VOID:
+            return
+        if kind == "open":
+            if name == "p" and self.open and self.open[-1][0] == "p":
+                self.open.pop()
+            self.open.append((name, feature(kind, name, names)))
+        elif any(n == name for n, _ in self.open):
+            while self.open.pop()[0] != name:
+                pass
+
+    def key(self) -> str:
+        return f"in {self.open[-1][1]}" if self.open else "in"
+
+
 def _label_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     inside, outside = Counter(), Counter()
     for f in frames:
         for page in f["html"]:
-            depth, seen_in, seen_out = 0, Counter(), Counter()
-            found = False
+            depth, found, around = 0, False, Around()
+            counts = (Counter(), Counter())  # outside, inside
             for kind, name, value in tokens(page):
                 if kind == "text":
+                    counts[depth > 0][around.key()] += len(value.split())
                     continue
+                around.move(kind, name, value)
                 if name in CONTENT:
                     depth = depth + 1 if kind == "open" else max(0, depth - 1)
                     found = True
-                    seen_out[feature(kind, name, value)] += 1
+                    counts[0][feature(kind, name, value)] += 1
                 else:
-                    (seen_in if depth else seen_out)[feature(kind, name, value)] += 1
+                    counts[depth > 0][feature(kind, name, value)] += 1
             if found:
-                inside.update(seen_in)
-                outside.update(seen_out)
+                outside.update(counts[0])
+                inside.update(counts[1])
     names = list(inside | outside)
     yield pd.DataFrame({"tag": names, "inside": [inside[n] for n in names], "outside": [outside[n] for n in names]})
 
 
 def train_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
                   max_pages: int = MAX_PAGES) -> dict[str, float]:
-    """Tag weights from the pages that mark their article."""
+    """Scores of tags, and of words by the block around them ("in p", ...), from the
+    pages that mark their article."""
     rate = min(1.0, max_pages / max(1, pages.select(id_col).count()))
     unit = F.shiftrightunsigned(F.xxhash64(F.lit(11), F.col(id_col)), 11) / F.lit(float(2 ** 53))
     counts = (pages.where(unit < rate).select(F.col(html_col).alias("html"))
               .mapInPandas(_label_counts, "tag string, inside long, outside long")
               .groupBy("tag").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o"))
               .orderBy(F.desc(F.col("i") + F.col("o")), "tag").limit(MAX_TAGS).collect())
-    return {r["tag"]: -(INSIDE + OUTSIDE * r["o"] / (r["i"] + r["o"])) for r in counts}
+    return {r["tag"]: max(LEAST, r["i"] / max(1, r["i"] + r["o"])) if r["tag"].startswith("in")
+            and r["tag"][2:3] in ("", " ") else -(INSIDE + OUTSIDE * r["o"] / (r["i"] + r["o"])) for r in counts}
 
 
 def weight(weights: dict[str, float], kind: str, name: str, names: str) -> float:
@@ -110,11 +138,25 @@ def weight(weights: dict[str, float], kind: str, name: str, names: str) -> float
     for key in (feature(kind, name, names), f"/{name}" if kind == "close" else name):
         if key in weights:
             return weights[key]
-    if name in DROPPED or (names and DROPPED_NAME.search(names)):
-        return -OUTSIDE
     return -INSIDE
 
 
+def scores_of(found: list[tuple[str, str, str]], weights: dict[str, float]) -> list[float]:
+    """One score per token; a run of text scores its number of words times their score."""
+    around, scores = Around(), []
+    for kind, name, value in found:
+        if kind == "text":
+            n, block = len(value.split()), around.open[-1][0] if around.open else ""
+            kinds = around.open[-1][1] if around.open else ""
+            unknown = LEAST if block in DROPPED or DROPPED_NAME.search(kinds.replace(".", " ")) else 1.0
+            word = weights.get(around.key(), weights.get(f"in {block}", unknown))
+            scores.append(n * word)
+        else:
+            around.move(kind, name, value)
+            scores.append(weight(weights, kind, name, value))
+    return scores
+
+
 def best_region(scores: list[float]) -> tuple[int, int]:
     """[from, to) of the first contiguous run with the largest sum; empty if none is positive."""
     best, span, total, start = 0.0, (0, 0), 0.0, 0
@@ -129,8 +171,7 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 def main_text(html: str | None, weights: dict[str, float]) -> str:
     found = list(tokens(html))
-    scores = [float(len(v.split())) if k == "text" else weight(weights, k, n, v) for k, n, v in found]
-    first, last = best_region(scores)
+    first, last = best_region(scores_of(found, weights))
     blocks, words, dropped, depth = [], [], "", 0
 
     def close_block() -> None:

@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +46,7 @@ PERCENT = 75
 GROUPS = 64
 LEAF = 16
 LEAF_BLOCK = 2048
+TEXTS = 200  # texts handled at a time in a task
 SAMPLE_DOCS = 10_000
 FREQUENT = 10  # documents of the sample
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -126,16 +128,29 @@ def set_class(hashes: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _sets(texts: DataFrame, n: int) -> DataFrame:
-    """(doc, size, cls, points): one row per row of texts."""
+def _sets(texts: DataFrame, frequent, n: int, percent: int) -> DataFrame:
+    """(doc, size, cls, points, keys): one row per row of texts. ``keys`` are the first
+    hashes of the set, given once per class and task."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            sets = [shingles(t, n) for t in f["t"]]
-            yield pd.DataFrame({
-                "doc": f["i"].astype("Int64"), "size": [len(s) for s in sets], "cls": [set_class(s) for s in sets],
-                "points": [point(s).astype("<u4").tobytes() for s in sets]})
-
-    return texts.mapInPandas(run, "doc long, size long, cls long, points binary")
+        late, done = frequent.value, set()
+        for f in (f.iloc[a:a + TEXTS] for f in frames for a in range(0, len(f), TEXTS)):
+            rows = []
+            for i, t in zip(f["i"], f["t"], strict=True):
+                s = shingles(t, n)
+                cls, keys = set_class(s), None
+                if len(s) and not pd.isna(i) and cls not in done:
+                    done.add(cls)
+                    keys = s
+                    if len(late):
+                        is_late = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
+                        keys = np.concatenate([s[~is_late], s[is_late]])
+                    keys = keys[:prefix_length(len(s), percent)].astype(np.int64)
+                rows.append((len(s), cls, point(s).astype("<u4").tobytes(), keys))
+            out = pd.DataFrame(rows, columns=["size", "cls", "points", "keys"])
+            out.insert(0, "doc", pd.array(f["i"], dtype="Int64"))
+            yield out
+
+    return texts.mapInPandas(run, "doc long, size long, cls long, points binary, keys array<long>")
 
 
 def _frequent(texts: DataFrame, n: int) -> np.ndarray:
@@ -157,50 +172,38 @@ def _frequent(texts: DataFrame, n: int) -> np.ndarray:
     return np.sort(found["h"].to_numpy(dtype=np.int64).astype(np.uint64))
 
 
-def _first_hashes(texts: DataFrame, frequent, n: int, percent: int) -> DataFrame:
-    """(key, cls, size): the first hashes of each class, once per task that has it."""
+def _packed_texts(texts: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cls, packed): the compressed text of each wanted class's smallest document; a row
+    that repeats that doc_id with another text comes along and is told apart later."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        late, done = frequent.value, set()
-        for f in frames:
-            keys, names, sizes = [], [], []
-            for t in f["t"]:
-                s = shingles(t, n)
-                take, cls = prefix_length(len(s), percent), set_class(s)
-                if not take or cls in done:
-                    continue
-                done.add(cls)
-                names.append(np.full(take, cls))
-                sizes.append(np.full(take, len(s)))
-                if len(late):
-                    is_late = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
-                    s = np.concatenate([s[~is_late], s[is_late]])
-                keys.append(s[:take].astype(np.int64))
-            if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys), "cls": np.concatenate(names),
-                                    "size": np.concatenate(sizes)})
-
-    return texts.where("i is not null").mapInPandas(run, "key long, cls long, size int")
-
-
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets link. Each class is read from its
-    smallest document; a row that repeats that doc_id with another set is passed over."""
+        for f in (f.iloc[a:a + TEXTS] for f in frames for a in range(0, len(f), TEXTS)):
+            yield pd.DataFrame({"i": f["i"], "packed": [
+                zlib.compress(t.encode("utf-8", "surrogatepass"), 3) for t in f["t"]]})
+
+    reps = classes.join(wanted, "cls", "left_semi").select("cls", F.col("rep").alias("i"))
+    return texts.where("i is not null").mapInPandas(run, "i long, packed binary").join(reps, "i").select("cls", "packed")
+
+
+def _verified(pairs: DataFrame, packed: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose whole sets link."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def unpack(z: bytes) -> np.ndarray:
+            return shingles(zlib.decompress(z).decode("utf-8", "surrogatepass"), n)
+
         last: tuple = (None, None)
         for f in frames:
             keep = []
             for a, b, ta, tb in zip(f["a"], f["b"], f["ta"], f["tb"], strict=True):
                 if last[0] != tb:
-                    last = (tb, shingles(tb, n))
-                sa, sb = shingles(ta, n), last[1]
+                    last = (tb, unpack(tb))
+                sa, sb = unpack(ta), last[1]
                 both = len(np.intersect1d(sa, sb, assume_unique=True))
                 keep.append(100 * both >= percent * (len(sa) + len(sb) - both)
                             and set_class(sa) == a and set_class(sb) == b)
             yield f.loc[np.array(keep, dtype=bool), ["a", "b"]]
 
     for side in "ab":
-        at = classes.select(F.col("cls").alias(side), F.col("rep").alias("i"))
-        pairs = pairs.join(at, side).join(texts, "i").withColumnRenamed("t", f"t{side}").drop("i")
+        pairs = pairs.join(packed.toDF(side, f"t{side}"), side)
     return pairs.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
 
 
@@ -273,11 +276,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                        n: int = N, percent: int = PERCENT) -> DataFrame:
     """(id_col, n_shingles, component_id): one row per row of ``docs``."""
     texts = docs.select(F.col(id_col).cast("long").alias("i"), lower_ascii(F.col(text_col)).alias("t"))
-    sets = written(_sets(texts, n), "sets")
-    classes = sets.where("size > 0 and doc is not null").groupBy("cls").agg(F.min("doc").alias("rep"))
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(texts, n))
+    sets = written(_sets(texts, frequent, n, percent), "sets")
+    classes = sets.where("size > 0 and doc is not null").groupBy("cls").agg(F.min("doc").alias("rep"))
     near = Window.partitionBy("key").orderBy("cls")
-    entries = (_first_hashes(texts, frequent, n, percent)
+    entries = (sets.where("keys is not null").select(F.explode("keys").alias("key"), "cls", F.col("size").cast("int"))
                .withColumn("prev", F.lag("cls").over(near)).withColumn("next", F.lead("cls").over(near)))
     blocks = written(entries.where("prev <> cls or next <> cls").select("key", "cls", "size").distinct(), "blocks")
     pivot = blocks.groupBy("key").agg(F.min("cls").alias("a"))
@@ -285,7 +288,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     star = (blocks.join(pivot.join(size_a, ["key", "a"]), "key").where("cls <> a")
             .groupBy("a", F.col("cls").alias("b"), "sa", F.col("size").alias("sb"))
             .agg(F.count(F.lit(1)).alias("shared")).where(_reachable(percent)).select("a", "b"))
-    links = written(_verified(star, classes, texts, n, percent).distinct(), "first-links")
+    packed = written(_packed_texts(texts, classes, blocks.select("cls").distinct()), "block-texts")
+    links = written(_verified(star, packed, n, percent).distinct(), "first-links")
     joined = components(links).withColumnRenamed("node", "cls")
     tagged = blocks.join(joined, "cls", "left").select(
         "key", "cls", "size", F.coalesce("label", "cls").alias("comp"))
@@ -294,7 +298,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     points = sets.where("size > 0").join(open_blocks.select("cls").distinct(), "cls", "left_semi").select(
         "cls", "points").dropDuplicates(["cls"])
     cross = _cross_pairs(open_blocks, points, percent)
-    more = written(_verified(cross, classes, texts, n, percent).distinct(), "more-links")
+    more = written(_verified(cross, packed, n, percent).distinct(), "more-links")
     label = components(links.union(more)).withColumnRenamed("node", "cls")
     named = classes.join(label, "cls", "left").withColumn("part", F.coalesce("label", "cls"))
     least = named.groupBy("part").agg(F.min("rep").alias("least"))
