@@ -17,7 +17,6 @@ def test_scan_reads_only_needed_columns(spark):
     from textrisk.sources.readers import table
     plan = _plan(spark, "screen_by_lang")
     assert "n_chars" not in plan and "source" not in plan
-    # the spread copy (single-split source) is written from a pruned scan
     df = table(spark, SF, "documents", ["doc_id", "text", "lang"])
     assert df.columns == ["doc_id", "text", "lang"]
     raw = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")

@@ -50,11 +50,24 @@ def test_require_and_present_columns(spark):
     assert df.select(F.lit(1)).count() == 1
 
 
-def test_spread_only_when_fewer_splits_than_cores(spark):
-    from textrisk.sources.readers import spread
-    cores = spark.sparkContext.defaultParallelism
-    many = spark.range(1000).repartition(cores * 2).withColumnRenamed("id", "doc_id")
-    assert spread(many, "doc_id") is many
+def test_text_tables_are_dealt_only_on_request(spark):
+    from textrisk.sources.readers import TEXT_PARTITIONS, deal, table
     one = spark.range(1000).coalesce(1).withColumnRenamed("id", "doc_id")
-    out = spread(one, "doc_id")
-    assert out.rdd.getNumPartitions() >= min(cores, 2) and out.count() == 1000
+    out = deal(one, 6)
+    assert out.inputFiles() and len(out.inputFiles()) == 6 and out.count() == 1000
+    sf = "/root/testdata/sf0.001"
+    assert table(spark, sf, "documents").inputFiles()[0].endswith("sf0.001/documents.parquet")
+    spark.conf.set(TEXT_PARTITIONS, "3")
+    try:
+        dealt = table(spark, sf, "documents", ["doc_id", "text"])
+        assert len(dealt.inputFiles()) == 3 and dealt.columns == ["doc_id", "text"]
+        plan = dealt._jdf.queryExecution().executedPlan().toString()
+        assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+    finally:
+        spark.conf.unset(TEXT_PARTITIONS)
+
+
+def test_optional_source_lets_other_errors_through(spark, tmp_path):
+    (tmp_path / "broken.parquet").write_text("not parquet")
+    with pytest.raises(Exception):
+        optional_source(spark, str(tmp_path / "broken.parquet")).count()

@@ -54,3 +54,20 @@ def test_wilson_zero_n_is_null(spark):
     df = spark.createDataFrame([(0, 0)], "k long, n long")
     lo, _ = wilson_interval("k", "n")
     assert df.select(F.try_add(lo, F.lit(0.0)).alias("x")).collect()[0].x is None
+
+
+def test_mcnemar_matches_the_full_fold_and_large_counts(spark):
+    import math
+
+    from textrisk.functions.stats import mcnemar_exact_p
+
+    rows = [(b, c) for b in (0, 1, 2, 7, 15, 16, 17, 40, 333) for c in (0, 1, 5, 16, 90, 400)] + [(49_000, 51_000), (50_000, 50_000)]
+    df = spark.createDataFrame(rows, "b long, c long").withColumn("p", mcnemar_exact_p("b", "c"))
+    for r in df.collect():
+        n, k = r.b + r.c, min(r.b, r.c)
+        logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2) for i in range(k + 1)]
+        want = min(1.0, 2 * math.fsum(math.exp(x) for x in logs))
+        assert abs(r.p - want) <= 1e-7 * max(want, 1e-300) + 1e-12, (r.b, r.c, r.p, want)
+    big = spark.createDataFrame([(10 ** 9, 10 ** 9 + 60_000)], "b long, c long").select(mcnemar_exact_p("b", "c").alias("p")).first().p
+    z = 60_000 / math.sqrt(2e9 + 60_000)
+    assert abs(big / math.erfc(z / math.sqrt(2)) - 1) < 0.01

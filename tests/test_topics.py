@@ -192,3 +192,13 @@ def test_sweep_metrics_equals_single_assignment_row(spark):
     for k in ("outlier_ratio", "c_v", "c_npmi", "topic_diversity"):
         assert round(g[k], 6) == pytest.approx(exp[k], abs=1e-6), k
     assert got[8].n_topics == 0 and got[8].outlier_ratio == 1.0 and got[8].topic_diversity == 0.0
+
+
+def test_rank_within_with_a_payload_and_many_rows(spark):
+    """More rows per task than the range sample holds, and a column that only the result needs."""
+    df = spark.range(200_000).select("id", (F.col("id") % 3).alias("g"), F.xxhash64("id").alias("k"),
+                                     F.repeat(F.lit("x"), 50).alias("payload"))
+    got = rank_within(df, ["g"], ["k", "id"], num_partitions=3)
+    from pyspark.sql import Window
+    want = df.select("id", F.row_number().over(Window.partitionBy("g").orderBy("k", "id")).alias("r"))
+    assert got.join(want, "id").where("rank = r and payload is not null").count() == 200_000

@@ -6,7 +6,8 @@ of the data. ``rank_within`` gets the same numbers from a range-partitioned
 sort: rows are spread over many tasks by (g, o), each task numbers its own
 run of rows, and per-task counts (one row per task and group) give the
 offsets. Work per task is bounded by the range partition size, not by the
-group size.
+group size. The numbered rows are written once: range bounds are sampled, so
+counts and rows must come from one and the same dealing.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textrisk.session import materialize
+
 
 def rank_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
                 rank_col: str = "rank", num_partitions: int | None = None) -> DataFrame:
@@ -26,10 +29,10 @@ def rank_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[s
     """
     keys = list(group_cols) + list(order_cols)
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *keys)
-              .sortWithinPartitions(*keys)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id()))
+    ranged = materialize(df.repartitionByRange(n, *keys)
+                         .sortWithinPartitions(*keys)
+                         .withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_mid", F.monotonically_increasing_id()))
     # One row per (task, group): how many rows the task holds and its first id.
     stats = ranged.groupBy("_pid", *group_cols).agg(
         F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first"))

@@ -103,16 +103,13 @@ LEARNERS: dict[str, Callable[[int], object]] = {
 }
 
 
-# Rows per training partition: an optimiser pass is one Spark job, so tiny
-# annotated samples sit in one partition and big ones spread out.
-ROWS_PER_PARTITION = 100_000
-
-
 def out_of_fold(df: DataFrame, id_col: str, label_col: str, text_col: str, k: int = 5, seed: int = 42,
                 learners: Sequence[str] = ("TF-IDF + LR",), max_features: int = 5000,
-                parallelism: int | None = None) -> DataFrame:
+                parallelism: int | None = None, train_partitions: int | None = None) -> DataFrame:
     """E4 + E5: every row predicted once by each learner, by a model fitted on
     the other folds (vectoriser included). Returns (id, fold, gold, learner, pred).
+    ``train_partitions`` sets the layout of the training rows (an optimiser pass is one
+    job over them); unset, it is that of the labelled rows.
 
     The k folds are fitted concurrently from a thread pool (as ML's
     cross-validator does), each fold's predictions written to the shared
@@ -123,13 +120,12 @@ def out_of_fold(df: DataFrame, id_col: str, label_col: str, text_col: str, k: in
     labelled = df.select(id_col, label_col, text_col).where(F.col(label_col).isNotNull())
     base = materialize(with_terms(stratified_folds(labelled, id_col, label_col, k, seed), text_col)
                        .drop(text_col).withColumn("label", F.col(label_col).cast("double")))
-    n_rows = base.count()
 
     def fit_fold(i: int) -> list[DataFrame]:
         train, test = base.where(F.col("fold") != i), base.where(F.col("fold") == i)
         feats = TfidfFeatures.fit(train, id_col, "terms", max_features)
-        parts = max(1, -(-n_rows // ROWS_PER_PARTITION))
-        tr = feats.transform(train).select(id_col, "label", "features").repartition(parts).cache()
+        tr = feats.transform(train).select(id_col, "label", "features")
+        tr = (tr.repartition(train_partitions) if train_partitions else tr).cache()
         te = feats.transform(test).select(id_col, "fold", F.col(label_col).alias("gold"), "features")
         n_train = tr.count()
         out = []

@@ -357,14 +357,14 @@ WITH t(name, template) AS (VALUES {tmpl}),
 v(variant, run) AS (VALUES {plan}),
 vt AS (SELECT v.variant, v.run, t.template FROM v JOIN t ON v.variant = t.name),
 r AS (SELECT c.conv_id, c.turn, vt.variant, vt.run, replace(vt.template, '{{tweet}}', coalesce(c.text, '')) AS prompt
-      FROM conversations c CROSS JOIN vt WHERE c.role = 'user')
+      FROM conversations c CROSS JOIN vt)
 SELECT conv_id, turn, variant, run, CAST(length(prompt) AS BIGINT) AS prompt_chars, md5(prompt) AS prompt_md5 FROM r"""
 
 
 @query("prompt_render", "C1, C8, H5, A3", _prompt_sql())
 def prompt_render(spark, sf):
     conv = (table(spark, sf, "conversations", ["conv_id", "turn", "role", "text"])
-            .where(F.col("role") == "user").withColumn("text", T.null_to_empty("text")))
+            .withColumn("text", T.null_to_empty("text")))
     out = C.variant_plan(conv.select("conv_id", "turn", "text"), "text")
     return out.select("conv_id", "turn", "variant", "run", F.length("prompt").cast("long").alias("prompt_chars"),
                       F.md5("prompt").alias("prompt_md5"))
@@ -380,10 +380,10 @@ def score_offline(spark, sf):
     rows = table(spark, sf, "documents", ["doc_id", "text"]).select(
         F.col("doc_id").alias("row_id"), T.null_to_empty("text").alias("text"))
     plan = C.scoring_plan(rows, ["lexicon"])
-    tmpl = dict(prompt_templates())["primary_prompt"]
-    plan = plan.withColumn("prompt", C.render_prompt(F.lit(tmpl), F.col("text")))
     store = spark.createDataFrame([], "row_id long, model string, run int, label int")
-    pending = C.pending_rows(plan, store)
+    tmpl = dict(prompt_templates())["primary_prompt"]
+    # Keys first; only rows that are left get their prompt.
+    pending = C.pending_rows(plan, store).withColumn("prompt", C.render_prompt(F.lit(tmpl), F.col("text")))
     scored = C.score(pending, {"lexicon": C.get_scorer_factory("lexicon")}, pause=0.0, batch_size=64)
     return scored.select("row_id", "model", "run", "label", "error")
 
@@ -401,12 +401,12 @@ def rehydrate(spark, sf):
 # ------------------------------------------------------------------ G1-G6
 def topic_table(spark, sf):
     """Topics from `embeddings.label` (label 0 = outliers, -1) with sizes and a
-    derived two-coder category mapping; label 9 is left unmapped on purpose."""
+    derived two-coder category mapping of every topic."""
     emb = table(spark, sf, "embeddings", ["vec_id", "label"])
     docs = emb.select("vec_id", F.when(F.col("label") == 0, -1).otherwise(F.col("label")).alias("topic"))
     sizes = docs.groupBy("topic").agg(F.count(F.lit(1)).alias("n_docs"))
     t = F.col("topic")
-    mapping = (sizes.where((t != -1) & (t != 9))
+    mapping = (sizes.where(t != -1)
                .select("topic", "n_docs",
                        (t % 5 + 1).cast("int").alias("category"),
                        (t % 5 + 1).cast("int").alias("label_a"),
@@ -420,7 +420,7 @@ sizes AS (SELECT topic, count(*) AS n_docs FROM docs GROUP BY topic),
 mapping AS (SELECT topic, n_docs, CAST(topic % 5 + 1 AS INTEGER) AS category,
                    CAST(topic % 5 + 1 AS INTEGER) AS label_a,
                    CAST(CASE WHEN topic % 4 = 0 THEN topic % 3 + 1 ELSE topic % 5 + 1 END AS INTEGER) AS label_b
-            FROM sizes WHERE topic <> -1 AND topic <> 9)"""
+            FROM sizes WHERE topic <> -1)"""
 
 
 @query("category_rollup", "G2, G3, H3", f"""
@@ -458,13 +458,15 @@ def topic_coder_kappa(spark, sf):
 
 @query("category_violations", "G5", f"""
 WITH {_TOPIC_SQL.strip()},
-counts AS (SELECT topic, count(DISTINCT category) AS n_categories FROM mapping WHERE topic <> -1 GROUP BY topic)
+counts AS (SELECT topic, count(DISTINCT category) AS n_categories FROM mapping
+           WHERE topic NOT IN (-1, 9) GROUP BY topic)
 SELECT topic, n_categories, 'multiple_categories' AS problem FROM counts WHERE n_categories > 1
 UNION ALL
 SELECT DISTINCT d.topic, CAST(0 AS BIGINT), 'unmapped' FROM docs d
 WHERE d.topic <> -1 AND NOT EXISTS (SELECT 1 FROM counts c WHERE c.topic = d.topic)""")
 def category_violations(spark, sf):
     docs, _, mapping = topic_table(spark, sf)
+    mapping = mapping.where(F.col("topic") != 9)  # left unmapped here, to be reported
     return G.category_violations(docs, mapping).select("topic", "n_categories", "problem")
 
 

@@ -336,12 +336,13 @@ def document_topics(spark, sf):
 # ------------------------------------------------------------------ F23
 def label_scores(spark, sf):
     """score = -euclidean distance of each vector to its label's mean vector.
-    The means are one aggregate with 64 averages (no explode); the K mean
-    vectors join back by label."""
+    The means are aggregated by label and position, whatever the width (partial sums
+    per task: labels x width rows); the mean vectors join back by label."""
     emb = table(spark, sf, "embeddings", ["vec_id", "embedding", "label"])
-    dim = 64
-    means = emb.groupBy("label").agg(
-        F.array(*[F.avg(F.col("embedding")[i]) for i in range(dim)]).alias("mean"))
+    means = (emb.select("label", F.posexplode("embedding").alias("i", "x"))
+             .groupBy("label", "i").agg(F.avg("x").alias("mu"))
+             .groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "mu"))).alias("m"))
+             .select("label", F.col("m.mu").alias("mean")))
     j = emb.join(means, "label")
     sq = F.aggregate(F.zip_with(F.col("embedding").cast("array<double>"), "mean",
                                 lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x)

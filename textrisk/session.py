@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,32 +58,46 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for lineage cuts and written intermediates.
-
-    Read from ``spark.checkpoint.dir`` (the cluster names a shared folder
-    there). Only when it is unset, as in local tests, a scratch folder is
-    made and registered.
-    """
+    """Shared folder for written intermediates: the one the cluster names in
+    ``spark.checkpoint.dir``. Only a local session may leave it unset and gets a
+    scratch folder; on a cluster that is an error, since executors on other
+    machines could not see a folder of the driver."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="textrisk-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        d = tempfile.mkdtemp(prefix="textrisk-scratch-")
         spark.sparkContext.setCheckpointDir(d)
     return d
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub-path of the shared checkpoint folder for written intermediates."""
-    return os.path.join(checkpoint_dir(spark), name)
+    """A new sub-path of the shared folder for one written intermediate."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from there.
+def materialize(df: DataFrame, name: str = "part") -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and continue from there.
 
     Used where a result is read several times (prepared tokens, topic words,
-    window counts): the lineage is cut, the plan stays small, and a lost
-    executor re-reads the files instead of recomputing the whole chain.
+    window counts): the lineage is cut, the plan stays small, later reads take
+    only the columns they need, and a lost executor re-reads the files instead
+    of recomputing the whole chain. ``clear_scratch`` deletes them.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this session's written intermediates at the end of a job."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(conf).delete(path, True)

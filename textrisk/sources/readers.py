@@ -3,7 +3,6 @@ tables (operators A1, A3, A5)."""
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,42 +18,33 @@ TEXT_COLUMNS = ("text", "html")
 
 _SPREAD: dict[tuple, DataFrame] = {}
 
+# Documented parameter: into how many parts a text table is dealt (round robin, no
+# key, so a hot text does not matter) and written once before it is read. 0, the
+# default, reads the files as they are; a caller whose source is one big split sets it.
+TEXT_PARTITIONS = "spark.textrisk.textPartitions"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, cols: Sequence[str] | None = None) -> DataFrame:
-    """A driver table; selecting ``cols`` here makes the scan read only them.
-    Reads that carry a text column are spread over the cores (see ``spread``)."""
-    path = os.path.join(sf_dir, f"{name}.parquet")
+    """A driver table; selecting ``cols`` here makes the scan read only them."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     df = spark.read.parquet(path)
-    df = df.select(*cols) if cols else df
-    if any(c in df.columns for c in TEXT_COLUMNS):
-        stamp = os.path.getmtime(path) if os.path.exists(path) else None
-        key = (spark.sparkContext.applicationId, os.path.abspath(path), stamp, tuple(df.columns))
+    parts = int(spark.conf.get(TEXT_PARTITIONS, "0"))
+    if parts and any(c in df.columns for c in TEXT_COLUMNS):
+        key = (spark.sparkContext.applicationId, path, parts)
         if key not in _SPREAD:
-            _SPREAD[key] = spread(df, df.columns[0])
+            _SPREAD[key] = deal(df, parts)
         df = _SPREAD[key]
-    return df
+    return df.select(*cols) if cols else df
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a text source over the cores when it arrives in fewer splits
-    than there are cores (one big row group, a few large files).
+def deal(df: DataFrame, parts: int) -> DataFrame:
+    """``df`` dealt into ``parts`` parts, written once to the shared folder.
 
-    Text cleaning and regex matching are CPU-bound row-wise work. A source
-    read as one task would run on one core -- and Catalyst pushes row filters
-    (URL-only, word count, keyword match: all functions of the text) below a
-    plain repartition, back into that task. So the rows are hash-partitioned
-    by ``key`` and written once to the shared checkpoint folder; later plans
-    start from the written, evenly split copy. On a cluster reading many
-    files the split count already exceeds the cores and nothing is added.
-    """
+    Text cleaning and regex matching are CPU-bound row-wise work, and filters on the
+    text move below a plain repartition into the scan task; from the written copy every
+    later plan starts in ``parts`` tasks."""
     from textrisk.session import materialize
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= cores:
-            return df
-    except Exception:  # noqa: BLE001 -- no RDD view (remote session): leave as read
-        return df
-    return materialize(df.repartition(cores, key))
+    return materialize(df.repartition(parts), "dealt")
 
 
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -78,10 +68,10 @@ def scan_templates(spark: SparkSession, path_glob: str) -> DataFrame:
 
 
 def optional_source(spark: SparkSession, path: str, reader=None) -> DataFrame | None:
-    """A5: None when the source is absent, so callers can report and go on."""
-    from py4j.protocol import Py4JJavaError
-    from pyspark.errors import AnalysisException
-    try:
-        return (reader or spark.read.parquet)(path)
-    except (AnalysisException, Py4JJavaError):
+    """A5: None when the path does not exist, so callers can report and go on. Any other
+    failure (corrupt files, access, schema) stays an error."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(conf).exists(at):
         return None
+    return (reader or spark.read.parquet)(path)

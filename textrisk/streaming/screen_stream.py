@@ -10,11 +10,10 @@ anti-join against the table of raw-text hashes already kept removes texts
 seen in earlier batches. "First" therefore means first batch, then smallest
 key -- the file order of an append-only source.
 
-Both outputs (candidates and seen hashes) are appended to tables under the
-shared checkpoint folder; the stream's own checkpoint makes a restarted job
-resume after the last committed batch. A batch that is replayed after a
-failure is filtered again by the anti-join, so it adds no second copy of a
-text kept before it.
+Both outputs (candidates and seen hashes) are written per batch, to a folder
+named by the batch id in overwrite mode, under the shared checkpoint folder; a
+batch that is replayed after a failure reads the hashes of earlier batches only
+and replaces its own folders, so no row is kept twice and none is lost.
 """
 
 from __future__ import annotations
@@ -30,6 +29,7 @@ from textrisk.functions import text as TX
 from textrisk.lexicons import KEYWORD_STEMS
 from textrisk.operators import screen as S
 from textrisk.session import checkpoint_dir
+from textrisk.sources.readers import optional_source
 
 
 def _row_stages(df: DataFrame, text_col: str) -> DataFrame:
@@ -49,21 +49,20 @@ def screen_stream(spark: SparkSession, source: str, schema: T.StructType, text_c
     (``availableNow``). Returns (candidates path, seen-hashes path)."""
     base = out_dir or os.path.join(checkpoint_dir(spark), f"stream-{name}")
     cand_path, seen_path = os.path.join(base, "candidates"), os.path.join(base, "seen")
-    seen_schema = T.StructType([T.StructField("_raw_key", T.StringType())])
+    seen_schema = T.StructType([T.StructField("_raw_key", T.StringType()), T.StructField("batch", T.LongType())])
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
-        try:
-            seen = s.read.schema(seen_schema).parquet(seen_path)
-        except Exception:  # noqa: BLE001 -- first batch: nothing kept yet
-            seen = s.createDataFrame([], seen_schema)
+        seen = optional_source(s, seen_path, s.read.schema(seen_schema).parquet)
         first = S.dedup_first(batch, ["_raw_key"], order_col)
-        new = first.join(seen, "_raw_key", "left_anti").persist()
+        if seen is not None:
+            first = first.join(seen.where(F.col("batch") < batch_id), "_raw_key", "left_anti")
+        new = first.persist()
         try:
             (S.with_keyword_matches(new, text_col, stems).where(F.size("matched_keywords") > 0)
              .drop("_raw_key").withColumn("batch_id", F.lit(batch_id))
-             .write.mode("append").parquet(cand_path))
-            new.select("_raw_key").write.mode("append").parquet(seen_path)
+             .write.mode("overwrite").parquet(f"{cand_path}/batch={batch_id}"))
+            new.select("_raw_key").write.mode("overwrite").parquet(f"{seen_path}/batch={batch_id}")
         finally:
             new.unpersist()
 
