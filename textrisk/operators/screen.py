@@ -18,10 +18,16 @@ from textrisk.lexicons import KEYWORD_STEMS
 from textrisk.schema import require_columns
 
 
+# Date forms besides ISO, tried in this order; a leading weekday name is dropped first.
+# 01/04/2023 is read month first.
+DATE_FORMS = ("MMM dd HH:mm:ss Z yyyy", "M/d/yyyy", "d MMM yyyy", "MMM d, yyyy", "yyyy/M/d HH:mm", "yyyy/M/d")
+
+
 def coerce_date(c: Column | str) -> Column:
     """Parse to a timestamp (session time zone UTC), keep the date; bad -> null."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.to_date(F.try_to_timestamp(c.cast("string")))
+    c = (F.col(c) if isinstance(c, str) else c).cast("string")
+    plain = F.regexp_replace(F.trim(c), "^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun),? ", "")
+    return F.to_date(F.coalesce(F.try_to_timestamp(c), *[F.try_to_timestamp(plain, F.lit(f)) for f in DATE_FORMS]))
 
 
 def prepare(df: DataFrame, text_col: str, date_col: str | None = None,
@@ -150,3 +156,8 @@ def screen_funnel(df: DataFrame, text_col: str, stems: Sequence[str] = KEYWORD_S
     return (tot.withColumn("before_kw", F.col("loaded") - F.col("url_only") - F.col("duplicates") - F.col("short"))
             .select(stages, "candidates", "before_kw")
             .select("stage_no", "stage", "removed", "remaining", kept.alias("keep_pct")))
+
+
+def filter_label(df: DataFrame, label_col: str, value: int = 1) -> DataFrame:
+    """The rows with this label (null labels are not kept)."""
+    return df.where(F.col(label_col) == value)

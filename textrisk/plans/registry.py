@@ -32,5 +32,5 @@ def query(name: str, ops: str, sql: str | None = None):
 
 
 def load_all() -> dict[str, Query]:
-    from textrisk.plans import evaluation, learning, screening, topics  # noqa: F401
+    from textrisk.plans import evaluation, jobs, learning, screening, topics  # noqa: F401
     return REGISTRY

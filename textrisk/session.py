@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on: UTC dates (coerce_date), AQE for runtime
@@ -50,7 +52,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply runtime SQL settings to a session the caller already owns."""
+    """Apply runtime SQL settings to a session the caller already owns. The package's
+    functions are pickled by value, so Python workers need no copy of it."""
+    cloudpickle.register_pickle_by_value(sys.modules["textrisk"])
     for k in ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled",
               "spark.sql.icu.caseMappings.enabled"):
         spark.conf.set(k, _BASE_CONF[k])
