@@ -109,19 +109,20 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     counts = rows.groupBy("doc").agg(F.max(F.char_length("_fp_text")).alias("n"))
     order = written(successors(counts), "successors")
     asked = order.select(F.col("next").alias("doc"), F.col("doc").alias("asker"), F.col("n").alias("asker_n"))
-    # Both sides of the last join start from this one exchange of the texts.
-    single = rows.repartition("doc").groupBy("doc", "_fp_text").agg(F.count(F.lit(1)).alias("_fp_copies"))
-    own = with_sketch(single, F.col("_fp_text"), "sketch", n, k)
-    given = own.join(asked, "doc").select(
+    # Both joins start from one exchange of the texts by their place; what travels on is
+    # the beginning asked for and a sketch (made after the exchange: twice the work for
+    # half the bytes).
+    given = with_sketch(rows.join(asked, "doc"), F.col("_fp_text"), "sketch", n, k).select(
         F.col("asker").alias("doc"), F.col("sketch").alias("next_sketch"),
         F.substr("_fp_text", F.lit(1), F.floor(F.col("asker_n") / 3).cast("int")).alias("begin"))
-    both = own.join(given, "doc")
+    # A repeated row is one place: it gives one beginning.
+    given = given.dropDuplicates(["doc"])
+    both = with_sketch(rows.join(given, "doc"), F.col("_fp_text"), "sketch", n, k)
     chars = F.char_length("_fp_text")
     cut = (chars - F.floor(chars / 3)).cast("int")
     edited = F.concat(F.substr("_fp_text", F.lit(1), cut), F.col("begin"))
-    return (both.withColumn("_fp_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_fp_copies"))))
-            .select(F.col("doc.id").alias(id_col), F.col("_fp_text").alias("text"), "sketch", "next_sketch",
-                    edited.alias("edited")))
+    return both.select(F.col("doc.id").alias(id_col), F.col("_fp_text").alias("text"), "sketch", "next_sketch",
+                       edited.alias("edited"))
 
 
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
