@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from textrisk.functions import text as T
 from textrisk.functions.ranking import rank_within
-from textrisk.operators.textprep import bigrams
+from textrisk.operators.textprep import bigrams, term_dictionary
 from textrisk.session import materialize
 
 
@@ -48,10 +48,7 @@ def tfidf_vocabulary(train: DataFrame, id_col: str, terms_col: str = "terms",
     The top-``max_features`` selection is a global top-k (per-task top-k,
     then one merge), not a sort of the whole dictionary.
     """
-    doc_terms = (train.select(id_col, F.explode(terms_col).alias("term"))
-                 .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")))
-    dic = doc_terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_docs"),
-                                        F.sum("tf").cast("long").alias("n_total"))
+    dic = term_dictionary(train, terms_col)
     top = dic.orderBy(F.col("n_total").desc(), F.col("term")).limit(max_features)
     n = train.agg(F.count(F.lit(1)).alias("_n"))
     return top.crossJoin(n).select(

@@ -160,8 +160,7 @@ WITH {_prep_sql().strip()},
 dt AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM terms) GROUP BY 1, 2)
 SELECT term, count(*) AS n_docs, CAST(sum(tf) AS BIGINT) AS n_total FROM dt GROUP BY term""")
 def ngram_dictionary(spark, sf):
-    doc_terms = P.term_counts(analyzed(spark, sf), ["doc_id"], "terms")
-    return P.term_dictionary(doc_terms)
+    return P.term_dictionary(analyzed(spark, sf), "terms")
 
 
 # ------------------------------------------------------------------ F9
