@@ -21,6 +21,7 @@ Ties go to the language that sorts first. No labelled row: every text is ``und``
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textrisk.llm.common import table
+from textrisk.llm.common import table, worker_cache
 
 MAX_ROWS_PER_LANG = 3000
 MAX_WORDS = 20_000
@@ -73,7 +74,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if len(sizes) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
     if not sizes:
-        return {"langs": [], "words": {}, "grams": {}}
+        return {"name": uuid.uuid4().hex, "langs": [], "words": {}, "grams": {}}
     rate = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, max_rows / r["count"])))])
     unit = F.shiftrightunsigned(F.xxhash64(F.lit(5), F.col(id_col)), 11) / F.lit(float(2 ** 53))
     sample = rows.where(unit < rate[F.col(lang_col)]).select(
@@ -108,40 +109,92 @@ def build(counts: pd.DataFrame, langs: list[str]) -> dict:
                     total[g] += k
             sums.append(total)
         tables[n] = logs(sums, MAX_GRAMS, MIN_COUNT)
-    return {"langs": langs, "words": logs(per, MAX_WORDS, MIN_COUNT), "grams": tables}
-
-
-def gram_score(model: dict, gram: str, n: int) -> np.ndarray:
-    """Score of one n-gram, backing off to the mean of its shorter ones."""
-    found = model["grams"].get(n, {}).get(gram)
-    if found is not None:
-        return found
-    if n == 1:
-        return np.zeros(len(model["langs"]))
-    parts = [gram_score(model, gram[i:i + n - 1], n - 1) for i in range(max(1, len(gram) - n + 2))]
-    return PENALTY + np.mean(parts, axis=0)
-
-
-def word_score(model: dict, word: str) -> np.ndarray:
-    found = model["words"].get(word)
-    if found is None:
-        found = PENALTY + np.mean([gram_score(model, g, LONGEST) for g in grams(word, LONGEST)], axis=0)
-    return found - found.max()
-
-
-def predict_text(model: dict, text: str | None, cache: dict | None = None) -> tuple[str, float]:
-    found = _letters(text or "")
-    if not found or not model["langs"] or not any(ch.isalpha() for ch in text):
-        return "und", 0.0
-    cache = {} if cache is None else cache
-    for w in found:
-        if w not in cache:
-            cache[w] = word_score(model, w[:64]) if len(w) <= 64 else np.mean(
-                [word_score(model, w[i:i + 64]) for i in range(0, len(w), 64)], axis=0)
-    mean = np.sum([cache[w] for w in found], axis=0) / len(found)
-    odds = np.exp(SHARPEN * (mean - mean.max()))
-    best = int(np.argmax(mean))
-    return model["langs"][best], float(odds[best] / odds.sum())
+    return {"name": uuid.uuid4().hex, "langs": langs, "words": logs(per, MAX_WORDS, MIN_COUNT), "grams": tables}
+
+
+class Rows:
+    """Score rows by name in one growing matrix."""
+
+    def __init__(self, width: int):
+        self.at, self.rows = {}, np.zeros((1024, width))
+
+    def add(self, names: list[str], rows: np.ndarray) -> None:
+        first = len(self.at)
+        while first + len(names) > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        self.rows[first:first + len(names)] = rows
+        self.at.update(zip(names, range(first, first + len(names)), strict=True))
+
+    def get(self, names: list[str]) -> np.ndarray:
+        return self.rows[np.fromiter(map(self.at.__getitem__, names), dtype=np.int64, count=len(names))]
+
+    def missing(self, names) -> list[str]:
+        return [n for n in names if n not in self.at]
+
+
+class Scorer:
+    """Word and n-gram scores of one model, remembered (up to CACHE_WORDS of each).
+    Unseen names are scored together, all words of a text at a time."""
+
+    def __init__(self, model: dict):
+        self.model = model
+        self.clear()
+
+    def clear(self) -> None:
+        width = len(self.model["langs"])
+        self.words, self.grams = Rows(width), {n: Rows(width) for n in range(1, LONGEST + 1)}
+
+    def means(self, parts: list[list[str]], n: int) -> np.ndarray:
+        """Row i: mean score of the n-grams parts[i] (none of them empty)."""
+        flat = [g for p in parts for g in p]
+        self.learn_grams(set(flat), n)
+        counts = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        starts = np.cumsum(counts) - counts
+        return np.add.reduceat(self.grams[n].get(flat), starts, axis=0) / counts[:, None]
+
+    def learn_grams(self, names, n: int) -> None:
+        """An n-gram's own score, else with a penalty the mean of its shorter ones."""
+        new, own = self.grams[n].missing(names), self.model["grams"].get(n, {})
+        known = [g for g in new if g in own]
+        if known:
+            self.grams[n].add(known, np.stack([own[g] for g in known]))
+        rest = [g for g in new if g not in own]
+        if rest and n == 1:
+            self.grams[n].add(rest, np.zeros((len(rest), len(self.model["langs"]))))
+        elif rest:
+            self.grams[n].add(rest, PENALTY + self.means(
+                [[g[i:i + n - 1] for i in range(max(1, len(g) - n + 2))] for g in rest], n - 1))
+
+    def learn_words(self, names) -> None:
+        """A known word's own score, else that of its n-grams; 0 for the best language."""
+        new, own = self.words.missing(names), self.model["words"]
+        known, rest = [w for w in new if w in own], [w for w in new if w not in own]
+        for part, rows in ((known, lambda: np.stack([own[w] for w in known])),
+                           (rest, lambda: PENALTY + self.means([grams(w, LONGEST) for w in rest], LONGEST))):
+            if part:
+                scores = rows()
+                self.words.add(part, scores - scores.max(axis=1, keepdims=True))
+
+    def __call__(self, text: str | None) -> tuple[str, float]:
+        found = _letters(text or "")
+        if not found or not self.model["langs"]:
+            return "und", 0.0
+        if max(len(self.words.at), *(len(r.at) for r in self.grams.values())) > CACHE_WORDS:
+            self.clear()
+        self.learn_words(set(found))
+        mean = self.words.get(found).mean(axis=0)
+        odds = np.exp(SHARPEN * (mean - mean.max()))
+        best = int(np.argmax(mean))
+        return self.model["langs"][best], float(odds[best] / odds.sum())
+
+
+def scorer(model: dict) -> Scorer:
+    """The worker's scorer of this model."""
+    cache = worker_cache("language-scorers")
+    if model["name"] not in cache:
+        cache.clear()
+        cache[model["name"]] = Scorer(model)
+    return cache[model["name"]]
 
 
 def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,11 +204,9 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(frames: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        cache: dict[str, np.ndarray] = {}
+        score = scorer(held.value)
         for texts in frames:
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-            yield pd.DataFrame([predict_text(held.value, t, cache) for t in texts], columns=["lang_pred", "score"])
+            yield pd.DataFrame([score(t) for t in texts], columns=["lang_pred", "score"])
 
     return docs.withColumn("_lang", predict(F.col(text_col)))
 
