@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from textrisk.llm import jaccard_join
-from textrisk.llm.jaccard_join import CountTree, components, jaccard_components, needed, point, prefix_length, shingles
+from textrisk.llm.jaccard_join import CountForest, components, jaccard_components, needed, point, prefix_length, shingles
 
 
 def brute(rows, n=5, percent=75):
@@ -70,16 +70,22 @@ def test_empty_table(docs_of):
     assert jaccard_components(docs_of([])).collect() == []
 
 
-def test_tree_search_is_the_bound(monkeypatch):
+def test_forest_search_is_the_bound():
     rnd = np.random.default_rng(5)
-    sets = [np.unique(rnd.integers(0, 2 ** 63, size=s).astype(np.uint64)) for s in rnd.integers(1, 200, size=150)]
+    sets = [np.unique(rnd.integers(0, 2 ** 63, size=s).astype(np.uint64)) for s in rnd.integers(1, 200, size=450)]
     points, sizes = np.stack([point(s) for s in sets]), np.array([len(s) for s in sets])
-    tree = CountTree(points, sizes)
-    for q in range(0, 150, 7):
-        bound = np.minimum(points, points[q]).sum(axis=1)
-        ok = ((100 * sizes >= 75 * sizes[q]) & (75 * sizes <= 100 * sizes[q])
-              & (bound >= needed(np.maximum(sizes, -(-75 * sizes[q] // 100)), sizes[q])))
-        assert set(np.flatnonzero(ok)) <= set(tree.search(points[q], int(sizes[q])).tolist())
+    blocks = rnd.choice([3, 3, 3, 5, 9, 70, 71], size=450)
+    q, at = CountForest(points, sizes, blocks).search(points, sizes, blocks)
+    got = set(zip(q.tolist(), at.tolist(), strict=True))
+    want = set()
+    for i in range(450):
+        bound = np.minimum(points, points[i]).sum(axis=1)
+        ok = ((blocks == blocks[i]) & (100 * sizes >= 75 * sizes[i]) & (75 * sizes <= 100 * sizes[i])
+              & (bound >= needed(sizes, sizes[i])))
+        want |= {(i, j) for j in np.flatnonzero(ok).tolist()}
+    assert got == want
+    none = CountForest(points[:1], sizes[:1], blocks[:1]).search(points[:0], sizes[:0], blocks[:0])
+    assert len(none[0]) == 0
 
 
 def test_linked_sets_share_a_first_hash():

@@ -46,6 +46,8 @@ PERCENT = 75
 GROUPS = 64
 LEAF = 16
 LEAF_BLOCK = 2048
+QUERIES = 4096  # queries that go down a forest together
+PAIRS = 100_000  # bounds computed at a time
 TEXTS = 200  # texts handled at a time in a task
 SAMPLE_DOCS = 10_000
 FREQUENT = 10  # documents of the sample
@@ -94,34 +96,60 @@ def point(hashes: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     return np.bincount((hashes >> np.uint64(32)) % np.uint64(groups), minlength=groups).astype(np.uint32)
 
 
-class CountTree:
-    """Bulk-loaded R-tree over group-count points: leaves are runs in order of set
-    size, every node keeps its maximum corner and its range of sizes."""
-
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, percent: int = PERCENT):
-        self.order = np.argsort(sizes, kind="stable")
-        self.percent = percent
-        corner, low, high = points[self.order], sizes[self.order], sizes[self.order]
-        self.levels = [(corner, low, high)]
-        while len(corner) > 1:
-            at = np.arange(0, len(corner), LEAF)
-            corner = np.maximum.reduceat(corner, at, axis=0)
-            low, high = np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
-            self.levels.append((corner, low, high))
-
-    def search(self, q: np.ndarray, size: int) -> np.ndarray:
-        """Positions of all points whose bound lets them link with the query."""
-        at = np.zeros(1, dtype=np.int64)
-        for depth in range(len(self.levels) - 1, -1, -1):
-            corner, low, high = self.levels[depth]
+class CountForest:
+    """Bulk-loaded R-trees over group-count points, one tree per block: leaves are runs
+    in order of set size, every node keeps its maximum corner and its range of sizes.
+    All queries of all blocks go down together, level by level."""
+
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, percent: int = PERCENT):
+        self.percent, self.order = percent, np.lexsort((sizes, blocks))
+        corner, low, block = points[self.order], sizes[self.order], blocks[self.order]
+        high = low
+        self.levels = [(corner, low, high, None, None)]
+        while True:
+            starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+            if len(starts) == len(block) and len(self.levels) > 1:
+                break
+            lengths = np.diff(np.r_[starts, len(block)])
+            nodes = -(-lengths // LEAF)
+            first = np.repeat(starts, nodes) + LEAF * _count_up(nodes)
+            count = np.diff(np.r_[first, len(block)])
+            corner = np.maximum.reduceat(corner, first, axis=0)
+            low, high = np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
+            block = np.repeat(block[starts], nodes)
+            self.levels.append((corner, low, high, first, count))
+        self.root = block
+
+    def search(self, points: np.ndarray, sizes: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, point) positions of all pairs of a block whose bound lets them link."""
+        out = [self._search(points, sizes, blocks, np.arange(a, min(a + QUERIES, len(sizes))))
+               for a in range(0, len(sizes), QUERIES)]
+        return (np.concatenate([q for q, _ in out]), np.concatenate([p for _, p in out])) if out else (
+            np.empty(0, dtype=np.int64),) * 2
+
+    def _search(self, points, sizes, blocks, q):
+        at = np.searchsorted(self.root, blocks[q])
+        known = (at < len(self.root)) & (self.root[np.minimum(at, len(self.root) - 1)] == blocks[q])
+        q, at = q[known], at[known]
+        for corner, low, high, first, count in reversed(self.levels):
+            size = sizes[q]
             fits = (100 * high[at] >= self.percent * size) & (self.percent * low[at] <= 100 * size)
-            at = at[fits]
-            least = np.maximum(low[at], -(-self.percent * size // 100))
-            at = at[np.minimum(corner[at], q).sum(axis=1) >= needed(least, size, self.percent)]
-            if depth:
-                at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
-                at = at[at < len(self.levels[depth - 1][1])]
-        return self.order[at]
+            q, at, size = q[fits], at[fits], size[fits]
+            need = needed(np.maximum(low[at], -(-self.percent * size // 100)), size, self.percent)
+            keep = np.concatenate([np.minimum(corner[at[i:i + PAIRS]], points[q[i:i + PAIRS]]).sum(axis=1)
+                                   for i in range(0, len(q), PAIRS)] or [np.empty(0)]) >= need
+            q, at = q[keep], at[keep]
+            if first is not None:
+                below = count[at]
+                at = np.repeat(first[at], below) + _count_up(below)
+                q = np.repeat(q, below)
+        return q, self.order[at]
+
+
+def _count_up(lengths: np.ndarray) -> np.ndarray:
+    """0, 1, ..., n-1 for each n of lengths, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
 
 
 def set_class(hashes: np.ndarray) -> int:
@@ -242,24 +270,34 @@ def _cross_pairs(blocks: DataFrame, points: DataFrame, percent: int) -> DataFram
 
     def search(f: pd.DataFrame) -> pd.DataFrame:
         pts = np.frombuffer(b"".join(f["points"]), dtype="<u4").reshape(len(f), -1)
-        sizes, comp = f["size"].to_numpy(), f["comp"].to_numpy()
-        docs, run = f["cls"].to_numpy(), f["run"].to_numpy()
-        r1, r2 = f["r1"].iloc[0], f["r2"].iloc[0]
-        index = np.flatnonzero(run == r2)
-        tree = CountTree(pts[index], sizes[index], percent)
-        out: list[np.ndarray] = []
-        for q in np.flatnonzero(run == r1):
-            hit = index[tree.search(pts[q], int(sizes[q]))]
-            hit = hit[comp[hit] != comp[q]]
-            hit = hit[docs[hit] > docs[q]] if r1 == r2 else hit
-            if len(hit):
-                out.append(np.stack([np.full(len(hit), q), hit]))
-        i, j = np.concatenate(out, axis=1) if out else np.empty((2, 0), dtype=int)
-        swap = docs[i] > docs[j]
+        sizes, comp, cls, run = (f[c].to_numpy() for c in ("size", "comp", "cls", "run"))
+        tile = f.groupby(["key", "r1", "r2"], sort=False).ngroup().to_numpy()
+        index, query = np.flatnonzero(run == f["r2"].to_numpy()), np.flatnonzero(run == f["r1"].to_numpy())
+        forest = CountForest(pts[index], sizes[index], tile[index], percent)
+        i, j = forest.search(pts[query], sizes[query], tile[query])
+        i, j = query[i], index[j]
+        fits = (comp[i] != comp[j]) & ((run[i] != run[j]) | (cls[i] < cls[j]))
+        i, j = i[fits], j[fits]
+        swap = cls[i] > cls[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
-        return pd.DataFrame({"a": docs[i], "b": docs[j], "sa": sizes[i], "sb": sizes[j]})
+        return pd.DataFrame({"a": cls[i], "b": cls[j], "sa": sizes[i], "sb": sizes[j]})
 
-    found = dealt.groupBy("key", "r1", "r2").applyInPandas(search, "a long, b long, sa long, sb long")
+    def search_all(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come in order of their tile; a batch is searched up to its last whole tile
+        (a tile has at most 2 * LEAF_BLOCK rows)."""
+        rest = None
+        for f in frames:
+            f = f if rest is None else pd.concat([rest, f], ignore_index=True)
+            last = (f[["key", "r1", "r2"]] == f[["key", "r1", "r2"]].iloc[-1]).all(axis=1).to_numpy() if len(f) else None
+            rest = f[last] if len(f) else None
+            if len(f) and not last.all():
+                yield search(f[~last].reset_index(drop=True))
+        if rest is not None and len(rest):
+            yield search(rest.reset_index(drop=True))
+
+    tile = ["key", "r1", "r2"]
+    found = dealt.select("cls", "size", "comp", "run", "points", *tile).repartition(*tile).sortWithinPartitions(
+        *tile).mapInPandas(search_all, "a long, b long, sa long, sb long")
     pairs = found.groupBy("a", "b", "sa", "sb").agg(F.count(F.lit(1)).alias("shared"))
     return pairs.where(_reachable(percent)).select("a", "b")
 
