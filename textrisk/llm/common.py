@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import types
@@ -38,9 +39,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     lineage is cut, and a lost executor costs a re-read, not a recomputation."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release_shuffles(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Shuffle files of finished steps go when the driver collects its garbage; a chain
+    of written steps asks for that, so that their disk use does not add up."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def lower_ascii(c: Column) -> Column:
     """``c`` with A-Z lower-cased and nothing else; null counts as empty. A text of
     single-byte characters goes through the much faster general ``lower``."""
