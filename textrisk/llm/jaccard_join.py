@@ -10,9 +10,9 @@ the overlap with everything below it.
    hashes under any common order. Here frequent hashes come last (a bounded sample of
    documents says which: this moves cost, never a result), then by value. A hash that
    only one class has is dropped at once.
-3. First links: in each block every class is tried with the block's smallest; pairs
-   that share much are verified and joined into components, so that large groups of
-   near copies never need all their pairs.
+3. First links: of the smallest classes of its blocks, each class is tried with the one
+   it shares most with; verified pairs are joined into components, so that large groups
+   of near copies never need all their pairs.
 4. All remaining pairs between different components: each block with more than one
    component bulk-loads an R-tree over its points and queries it with each of them.
    A long block is cut into runs of ``LEAF_BLOCK`` points by size, and each pair of
@@ -218,19 +218,19 @@ def _verified(pairs: DataFrame, packed: DataFrame, n: int, percent: int) -> Data
         def unpack(z: bytes) -> np.ndarray:
             return shingles(zlib.decompress(z).decode("utf-8", "surrogatepass"), n)
 
-        last: tuple = (None, None)
-        for f in frames:
+        last: tuple = (None, None, None)  # rows come in order of a
+        for f in (f.iloc[x:x + TEXTS] for f in frames for x in range(0, len(f), TEXTS)):
             keep = []
             for a, b, ta, tb in zip(f["a"], f["b"], f["ta"], f["tb"], strict=True):
-                if last[0] != tb:
-                    last = (tb, unpack(tb))
-                sa, sb = unpack(ta), last[1]
+                if last[0] != a:
+                    last = (a, unpack(ta), ta)
+                sa, sb = last[1] if last[2] == ta else unpack(ta), unpack(tb)
                 both = len(np.intersect1d(sa, sb, assume_unique=True))
                 keep.append(100 * both >= percent * (len(sa) + len(sb) - both)
                             and set_class(sa) == a and set_class(sb) == b)
             yield f.loc[np.array(keep, dtype=bool), ["a", "b"]]
 
-    for side in "ab":
+    for side in "ba":
         pairs = pairs.join(packed.toDF(side, f"t{side}"), side)
     return pairs.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
 
@@ -325,7 +325,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     size_a = blocks.select("key", F.col("cls").alias("a"), F.col("size").alias("sa"))
     star = (blocks.join(pivot.join(size_a, ["key", "a"]), "key").where("cls <> a")
             .groupBy("a", F.col("cls").alias("b"), "sa", F.col("size").alias("sb"))
-            .agg(F.count(F.lit(1)).alias("shared")).where(_reachable(percent)).select("a", "b"))
+            .agg(F.count(F.lit(1)).alias("shared")).where(_reachable(percent))
+            # One text travels per pair: each class tries its best pivot only.
+            .groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b"))
     packed = written(_packed_texts(texts, classes, blocks.select("cls").distinct()), "block-texts")
     links = written(_verified(star, packed, n, percent).distinct(), "first-links")
     joined = components(links).withColumnRenamed("node", "cls")
