@@ -48,7 +48,7 @@ def test_mix_meets_targets_and_reruns_agree(docs_of):
     first = mix(docs).toPandas()
     assert len(first) == docs.count()
     assert (first["taken"] <= 3 * first["size"]).all()
-    for _, g in first.groupby("target"):
+    for _, g in first.groupby(["source_size", "target"]):  # two sources may share a target
         assert abs(g["taken"].sum() - g["target"].iloc[0]) < 3
         assert g["source_size"].iloc[0] == g["size"].sum()
     order = ["_mx_id", "_mx_hash", "size", "taken"]
