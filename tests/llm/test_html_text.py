@@ -57,3 +57,19 @@ def test_null_rows_repeats_and_empty_table(spark, weights):
     assert got == [(False, ""), (True, "x y"), (True, "x y")]
     empty = pages.limit(0)
     assert extract(empty, train_weights(empty)).count() == 0
+
+
+LEAD = "<article><h1>Title here</h1><p>A short lead of eight words in all.</p>"
+KEPT = "Title here\nA short lead of eight words in all."
+
+
+def test_links_lists_short_articles_and_long_comments(weights):
+    assert main_text(LEAD + "<p>More <a href=x>linked words</a> follow.</p></article>", weights) == KEPT + "\nMore linked words follow."
+    items = "".join(f"<li><a href=x>point number {i}</a></li>" for i in range(9))
+    assert main_text(LEAD + f"<ul>{items}</ul></article>", weights).split("\n")[2:] == [f"point number {i}" for i in range(9)]
+    long = "<p>" + "reader words " * 60 + "</p>"
+    assert main_text(LEAD + f"</article><div class=comments>{long}</div>", weights) == KEPT
+    assert main_text(LEAD + f"</article><div>{long}</div>", weights) == KEPT
+    assert main_text(LEAD + f"<aside>{long}</aside><p>The end.</p></article>", weights) == KEPT + "\nThe end."
+    plain = "<div><h1>Title</h1><p>Some text <a href=x>with a link</a> in it.</p><ul><li>one</li><li>two</li></ul></div>"
+    assert main_text(f"<body>{plain}<div id=comments>{long}</div></body>", weights) == "Title\nSome text with a link in it.\none\ntwo"

@@ -4,14 +4,16 @@ A page is a sequence of words and tags. On labelled pages (those that mark their
 article; the article element is the label) we count, for every kind of tag and of block
 around a word, how much of it is content. A word scores above zero, up to 1, by the share
 of content among the words in such blocks; a tag scores below zero, the more the larger
-its share outside content. One linear
-scan finds the contiguous region of the largest sum. Inside the region, elements that
-never hold main text (menus, forms, notices, comments, ...) are left out; block elements
-separate blocks.
+its share outside content, up to the mean number of words of a stretch outside content.
+Elements that never hold main text (menus, forms, notices, comments, ...) are left out
+wherever they stand: their tags and words score nothing, neither in training nor on a
+page, and never reach the text. On a page that marks its article, a word outside of it
+scores below zero. One linear scan finds the contiguous region of the largest sum; block
+elements separate blocks. Elements end where HTML says so, with or without an end tag.
 
-The tag weights come from a sample of labelled pages, ``MAX_PAGES`` by hash of the id
-(the bound of what the driver sees is the tag table, ``MAX_TAGS`` entries). Every
-page is then read whole.
+The tag weights come from a sample of the pages that mark their article, ``MAX_PAGES``
+by hash of the id (the bound of what the driver sees is the tag table, ``MAX_TAGS``
+entries, those without words outside not among them). Every page is then read whole.
 
 Defined results: null or empty html, and pages without a word, give the empty text;
 of regions with equal sums the first wins; every row is read for itself.
@@ -34,7 +36,6 @@ MAX_PAGES = 2000
 MAX_TAGS = 2000
 INSIDE = 0.02  # cost of a tag that occurs only inside content
 LEAST = 0.01  # score of a word in blocks that never hold content
-OUTSIDE = 40.0  # additional cost of one that occurs only outside
 CONTENT = ("article", "main")
 
 # HTML's raw-text, void and block elements.
@@ -55,7 +56,7 @@ TOKEN = re.compile(
     r"|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|$)"
     r"|<(?P<close>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)"
     r"|(?P<text>[^<]+|<)", re.S | re.I)
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+NAMES = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
 def tokens(html: str | None) -> Iterator[tuple[str, str, str]]:
@@ -65,8 +66,9 @@ def tokens(html: str | None) -> Iterator[tuple[str, str, str]]:
         if m["text"] is not None:
             yield "text", "", m["text"]
         elif m["name"]:
-            names = " ".join(a or b or c for a, b, c in NAMES.findall(m["attrs"])) if m["attrs"] else ""
-            yield "close" if m["close"] else "open", m["name"].lower(), names
+            name = m["name"].lower()
+            names = " ".join(a or b or c for _, a, b, c in NAMES.findall(m["attrs"])) if m["attrs"] else ""
+            yield "close" if m["close"] else "open", name, names
 
 
 def feature(kind: str, name: str, names: str) -> str:
@@ -74,49 +76,107 @@ def feature(kind: str, name: str, names: str) -> str:
     return f"/{name}" if kind == "close" else f"{name}.{names.split()[0].lower()}" if names.strip() else name
 
 
+def is_dropped(name: str, names: str) -> bool:
+    """Whether an element never holds main text, by its name or a whole word of its names."""
+    if name in DROPPED:
+        return True
+    if name in VOID or name in CONTENT or name in ("html", "body"):
+        return False
+    return bool(names and DROPPED_NAME.search(names))
+
+
 class Around:
-    """The block elements around the current place of a page."""
+    """The open elements at the current place of a page: blocks, and others that are dropped."""
 
     def __init__(self):
-        self.open: list[tuple[str, str]] = []
-
-    def move(self, kind: str, name: str, names: str) -> None:
-        if name not in BLOCKS or name in VOID:
-            return
+        self.open: list[tuple[str, str, bool]] = []  # name, feature, dropped
+        self.count: Counter = Counter()
+        self.dropped = 0
+
+    def _end(self, i: int) -> None:
+        name, _, dropped = self.open.pop(i)
+        self.count[name] -= 1
+        self.dropped -= dropped
+
+    def _cut(self, i: int) -> None:
+        while len(self.open) > i:
+            self._end(-1)
+
+    def move(self, kind: str, name: str, names: str) -> bool:
+        """Follow a tag; whether it belongs to a dropped element (as its own tag or within)."""
+        before = self.dropped
+        if name in VOID:
+            return before > 0
+        block = name in BLOCKS
         if kind == "open":
-            if name == "p" and self.open and self.open[-1][0] == "p":
-                self.open.pop()
-            self.open.append((name, feature(kind, name, names)))
-        elif any(n == name for n, _ in self.open):
-            while self.open.pop()[0] != name:
-                pass
+            if block and self.count["p"]:  # a block ends an open paragraph
+                i = len(self.open) - 1
+                while i >= 0 and self.open[i][0] not in BLOCKS:
+                    i -= 1
+                if i >= 0 and self.open[i][0] == "p":
+                    self._cut(i)
+            dropped = is_dropped(name, names)
+            if block or dropped or self.count[name] > 0:
+                self.open.append((name, feature(kind, name, names), dropped))
+                self.count[name] += 1
+                self.dropped += dropped
+            return self.dropped > 0
+        if self.count[name] > 0:
+            i = len(self.open) - 1
+            while self.open[i][0] != name:
+                i -= 1
+            if block:
+                self._cut(i)
+            else:
+                self._end(i)
+        return before > 0
 
     def key(self) -> str:
-        return f"in {self.open[-1][1]}" if self.open else "in"
+        for name, kind, _ in reversed(self.open):
+            if name in BLOCKS:
+                return f"in {kind}"
+        return "in"
+
+
+STRETCH = "outside"  # the table's row with the words (o) and the number (i) of stretches outside content
 
 
 def _label_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     inside, outside = Counter(), Counter()
     for f in frames:
         for page in f["html"]:
-            depth, found, around = 0, False, Around()
+            depth, found, around, stretch = 0, False, Around(), 0
             counts = (Counter(), Counter())  # outside, inside
+
+            def end_stretch() -> None:
+                if stretch:
+                    counts[0][STRETCH] += stretch
+                    counts[1][STRETCH] += 1
+
             for kind, name, value in tokens(page):
                 if kind == "text":
-                    counts[depth > 0][around.key()] += len(value.split())
+                    n = len(value.split())
+                    stretch += n if depth == 0 else 0
+                    if not around.dropped:
+                        counts[depth > 0][around.key()] += n
                     continue
-                around.move(kind, name, value)
+                left_out = around.move(kind, name, value)
                 if name in CONTENT:
+                    if depth == 0:
+                        end_stretch()
+                        stretch = 0
                     depth = depth + 1 if kind == "open" else max(0, depth - 1)
                     found = True
                     counts[0][feature(kind, name, value)] += 1
-                else:
+                elif not left_out:
                     counts[depth > 0][feature(kind, name, value)] += 1
+            end_stretch()
             if found:
                 outside.update(counts[0])
                 inside.update(counts[1])
     names = list(inside | outside)
-    yield pd.DataFrame({"tag": names, "inside": [inside[n] for n in names], "outside": [outside[n] for n in names]})
+    if names:
+        yield pd.DataFrame({"tag": names, "inside": [inside[n] for n in names], "outside": [outside[n] for n in names]})
 
 
 def train_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
@@ -128,9 +188,12 @@ def train_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     counts = (pages.where(unit < rate).select(F.col(html_col).alias("html"))
               .mapInPandas(_label_counts, "tag string, inside long, outside long")
               .groupBy("tag").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o"))
-              .orderBy(F.desc(F.col("i") + F.col("o")), "tag").limit(MAX_TAGS).collect())
+              .where((F.col("o") > 0) | (F.col("tag") == "in"))  # others score like unknown ones
+              .orderBy(F.desc(F.col("tag") == STRETCH), F.desc(F.col("i") + F.col("o")), "tag").limit(MAX_TAGS).collect())
+    stretch = next((r["o"] / r["i"] for r in counts if r["tag"] == STRETCH), 0.0)
     return {r["tag"]: max(LEAST, r["i"] / max(1, r["i"] + r["o"])) if r["tag"].startswith("in")
-            and r["tag"][2:3] in ("", " ") else -(INSIDE + OUTSIDE * r["o"] / (r["i"] + r["o"])) for r in counts}
+            and r["tag"][2:3] in ("", " ") else -(INSIDE + stretch * r["o"] / (r["i"] + r["o"]))
+            for r in counts if r["tag"] != STRETCH}
 
 
 def weight(weights: dict[str, float], kind: str, name: str, names: str) -> float:
@@ -141,20 +204,24 @@ def weight(weights: dict[str, float], kind: str, name: str, names: str) -> float
     return -INSIDE
 
 
-def scores_of(found: list[tuple[str, str, str]], weights: dict[str, float]) -> list[float]:
-    """One score per token; a run of text scores its number of words times their score."""
-    around, scores = Around(), []
+def scores_of(found: list[tuple[str, str, str]], weights: dict[str, float]) -> tuple[list[float], list[bool]]:
+    """One score per token, and whether it is left out. A run of text scores its number
+    of words times their score, -1 a word outside the article of a page that marks one."""
+    around, scores, left_out, depth = Around(), [], [], 0
+    label = next((c for c in CONTENT if any(k == "open" and n == c for k, n, _ in found)), None)
     for kind, name, value in found:
         if kind == "text":
-            n, block = len(value.split()), around.open[-1][0] if around.open else ""
-            kinds = around.open[-1][1] if around.open else ""
-            unknown = LEAST if block in DROPPED or DROPPED_NAME.search(kinds.replace(".", " ")) else 1.0
-            word = weights.get(around.key(), weights.get(f"in {block}", unknown))
-            scores.append(n * word)
+            dropped = around.dropped > 0
+            block = next((n for n, _, _ in reversed(around.open) if n in BLOCKS), "")
+            word = weights.get(around.key(), weights.get(f"in {block}", 1.0))
+            scores.append(0.0 if dropped else len(value.split()) * (-1.0 if label and not depth else word))
         else:
-            around.move(kind, name, value)
-            scores.append(weight(weights, kind, name, value))
-    return scores
+            dropped = around.move(kind, name, value)
+            if name == label and not dropped:
+                depth = depth + 1 if kind == "open" else max(0, depth - 1)
+            scores.append(0.0 if dropped else weight(weights, kind, name, value))
+        left_out.append(dropped)
+    return scores, left_out
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -171,8 +238,9 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 def main_text(html: str | None, weights: dict[str, float]) -> str:
     found = list(tokens(html))
-    first, last = best_region(scores_of(found, weights))
-    blocks, words, dropped, depth = [], [], "", 0
+    scores, left_out = scores_of(found, weights)
+    first, last = best_region(scores)
+    blocks, words = [], []
 
     def close_block() -> None:
         text = " ".join("".join(words).split())
@@ -180,21 +248,14 @@ def main_text(html: str | None, weights: dict[str, float]) -> str:
             blocks.append(text)
         words.clear()
 
-    for kind, name, value in found[first:last]:
-        if dropped:  # inside an element without main text: wait for its end
-            if name == dropped:
-                depth += 1 if kind == "open" else -1 if kind == "close" else 0
-                dropped = dropped if depth else ""
-        elif kind == "text":
-            words.append(entities.unescape(value))
-        else:
-            if name in BLOCKS:
-                close_block()
-            elif name == "br":
-                words.append(" ")
-            if kind == "open" and name not in VOID and name not in CONTENT and (
-                    name in DROPPED or (value and DROPPED_NAME.search(value))):
-                dropped, depth = name, 1
+    for (kind, name, value), dropped in zip(found[first:last], left_out[first:last]):
+        if kind == "text":
+            if not dropped:
+                words.append(entities.unescape(value))
+        elif name in BLOCKS:
+            close_block()
+        elif name == "br":
+            words.append(" ")
     close_block()
     return "\n".join(blocks)
 
