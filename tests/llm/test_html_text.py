@@ -73,3 +73,19 @@ def test_links_lists_short_articles_and_long_comments(weights):
     assert main_text(LEAD + f"<aside>{long}</aside><p>The end.</p></article>", weights) == KEPT + "\nThe end."
     plain = "<div><h1>Title</h1><p>Some text <a href=x>with a link</a> in it.</p><ul><li>one</li><li>two</li></ul></div>"
     assert main_text(f"<body>{plain}<div id=comments>{long}</div></body>", weights) == "Title\nSome text with a link in it.\none\ntwo"
+
+
+def test_dropped_elements_end_where_html_says(weights):
+    assert main_text('<article><p class="notice">x<p>a</p><p>b</p></article>', weights) == "a\nb"
+    assert main_text('<article><p>a</p><ul><li class="share">x<li>b</ul><p>c</p></article>', weights) == "a\nb\nc"
+    assert main_text('<article><div><div class="ad">x</div><p>a</p></div><p>b</article>', weights) == "a\nb"
+    assert main_text('<article><p>a</p><svg width="1"/><p>b <button>x</button>c</p></article>', weights) == "a\nb c"
+    assert main_text('<article><p>a</p><section><svg><path d="x"></section><p>b</p></article>', weights) == "a\nb"
+    assert main_text('<article><p>a <span class="ad">x <span>y</span> z</span> b</p></article>', weights) == "a b"
+
+
+def test_ids_of_article_parts_are_kept(weights):
+    for name, attr in (("h2", "social-impact"), ("section", "related-work"), ("div", "comments-on-method"), ("p", "notice-period"), ("h2", "related")):
+        assert main_text(f'<article><p>a</p><{name} id="{attr}">kept</{name}><p>b</p></article>', weights) == "a\nkept\nb"
+    for name in ("related-posts", "comment-list", "social share", "x ad-slot-3", "cookie-notice"):
+        assert main_text(f'<article><p>a</p><div class="{name}">x</div><p>b</p></article>', weights) == "a\nb"

@@ -39,17 +39,21 @@ LEAST = 0.01  # score of a word in blocks that never hold content
 CONTENT = ("article", "main")
 
 # HTML's raw-text, void and block elements.
-RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select", "button")
+RAW = ("script", "style", "textarea", "title")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog div dl dt fieldset
     figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre
     section summary table tbody td tfoot th thead tr ul""".split())
-DROPPED = frozenset("nav aside footer header form head menu dialog".split())
-# Class or id words of elements that hold no main text.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+DROPPED = frozenset("""nav aside footer header form head menu dialog noscript template iframe svg select
+    button""".split())
+# Class, id or role words of elements that hold no main text: every part of the word is of one of these two.
 DROPPED_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|nav|navbar|menu|breadcrumbs?|sidebar|footer|header|cookies?|consent|"
-    r"notices?|popup|modal|newsletter|subscribe|share|social|related|comments?|comment-?list|replies|disqus|widget)(?=$|[\s_-])",
-    re.I)
+    r"ads?|advert\w*|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|header|cookies?|consent|"
+    r"notices?|popup|modal|newsletter|subscribe|share|social|related|comments?|replies|disqus|widget", re.I)
+PLAIN_NAME = re.compile(
+    r"list|box|bar|area|section|wrapper|wrap|container|content|block|row|col|inner|outer|site|page|main|top|bottom|left|right|"
+    r"items?|links?|icons?|buttons?|media|posts?|articles?|signup|form|slot|unit|thread|\d+", re.I)
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
@@ -67,8 +71,12 @@ def tokens(html: str | None) -> Iterator[tuple[str, str, str]]:
             yield "text", "", m["text"]
         elif m["name"]:
             name = m["name"].lower()
-            names = " ".join(a or b or c for _, a, b, c in NAMES.findall(m["attrs"])) if m["attrs"] else ""
+            # The id of a heading is an anchor made from its words.
+            names = " ".join(a or b or c for key, a, b, c in NAMES.findall(m["attrs"])
+                             if key.lower() != "id" or name not in HEADINGS) if m["attrs"] else ""
             yield "close" if m["close"] else "open", name, names
+            if not m["close"] and m["attrs"].endswith("/") and name in DROPPED:
+                yield "close", name, ""
 
 
 def feature(kind: str, name: str, names: str) -> str:
@@ -82,7 +90,19 @@ def is_dropped(name: str, names: str) -> bool:
         return True
     if name in VOID or name in CONTENT or name in ("html", "body"):
         return False
-    return bool(names and DROPPED_NAME.search(names))
+    for word in names.split():
+        parts = [w for w in re.split(r"[-_]+", word) if w]
+        if any(map(DROPPED_NAME.fullmatch, parts)) and all(DROPPED_NAME.fullmatch(w) or PLAIN_NAME.fullmatch(w) for w in parts):
+            return True
+    return False
+
+
+# Elements whose start ends an open one of the same group, and what such a search does not leave.
+ENDS = {"li": (("li",), BLOCKS - {"li", "address", "div", "p"}),
+        "dd": (("dd", "dt"), BLOCKS - {"dd", "dt", "address", "div", "p"}),
+        "dt": (("dd", "dt"), BLOCKS - {"dd", "dt", "address", "div", "p"}),
+        "td": (("td", "th"), frozenset(("tr", "table"))), "th": (("td", "th"), frozenset(("tr", "table"))),
+        "tr": (("tr",), frozenset(("table", "tbody", "thead", "tfoot")))}
 
 
 class Around:
@@ -115,6 +135,13 @@ class Around:
                     i -= 1
                 if i >= 0 and self.open[i][0] == "p":
                     self._cut(i)
+            ended, kept = ENDS.get(name, ((), ()))
+            if any(self.count[n] for n in ended):
+                i = len(self.open) - 1
+                while i >= 0 and self.open[i][0] not in ended and self.open[i][0] not in kept:
+                    i -= 1
+                if i >= 0 and self.open[i][0] in ended:
+                    self._cut(i)
             dropped = is_dropped(name, names)
             if block or dropped or self.count[name] > 0:
                 self.open.append((name, feature(kind, name, names), dropped))
