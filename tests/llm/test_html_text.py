@@ -89,3 +89,12 @@ def test_ids_of_article_parts_are_kept(weights):
         assert main_text(f'<article><p>a</p><{name} id="{attr}">kept</{name}><p>b</p></article>', weights) == "a\nkept\nb"
     for name in ("related-posts", "comment-list", "social share", "x ad-slot-3", "cookie-notice"):
         assert main_text(f'<article><p>a</p><div class="{name}">x</div><p>b</p></article>', weights) == "a\nb"
+
+
+def test_labelled_pages_are_found_before_sampling(spark):
+    rows = [(i, "<body><p>plain page</p></body>") for i in range(3000)] + [
+        (-1, "<body><div class=zz>out of it</div><article><p>in it</p></article></body>")]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    assert train_weights(pages, max_pages=5)["in div.zz"] < 0.1
+    with pytest.warns(UserWarning, match="no page marks"):
+        assert train_weights(pages.where("page_id >= 0"), max_pages=5) == {}

@@ -13,7 +13,8 @@ elements separate blocks. Elements end where HTML says so, with or without an en
 
 The tag weights come from a sample of the pages that mark their article, ``MAX_PAGES``
 by hash of the id (the bound of what the driver sees is the tag table, ``MAX_TAGS``
-entries, those without words outside not among them). Every page is then read whole.
+entries, those without words outside not among them). Every page is then read whole. A
+table without such a page gets no weights, and a warning says so.
 
 Defined results: null or empty html, and pages without a word, give the empty text;
 of regions with equal sums the first wins; every row is read for itself.
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 
@@ -210,9 +212,13 @@ def train_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
                   max_pages: int = MAX_PAGES) -> dict[str, float]:
     """Scores of tags, and of words by the block around them ("in p", ...), from the
     pages that mark their article."""
-    rate = min(1.0, max_pages / max(1, pages.select(id_col).count()))
+    marked = pages.where(F.col(html_col).rlike(rf"(?i)<({'|'.join(CONTENT)})\b"))
+    n = marked.count()
+    if n == 0:
+        warnings.warn("no page marks its article: the main text is found without learned weights", stacklevel=2)
+        return {}
     unit = F.shiftrightunsigned(F.xxhash64(F.lit(11), F.col(id_col)), 11) / F.lit(float(2 ** 53))
-    counts = (pages.where(unit < rate).select(F.col(html_col).alias("html"))
+    counts = (marked.where(unit < min(1.0, max_pages / n)).select(F.col(html_col).alias("html"))
               .mapInPandas(_label_counts, "tag string, inside long, outside long")
               .groupBy("tag").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o"))
               .where((F.col("o") > 0) | (F.col("tag") == "in"))  # others score like unknown ones
