@@ -64,3 +64,26 @@ def test_empty_and_driver_table(spark, model):
     for r in got.collect():
         host, path, rule, says = brute(r.url)
         assert (r.host, r.path, r.rule) == (host, path, rule) and (says is None or r.verdict == says)
+
+
+UNWANTED = ("casinonight.biz", "poker-club.site", "adultvideos.example.net", "sex-contacts.eu", "cheap-viagra.shop", "torrentfiles.to",
+            "best-betting.club", "spam-mailers.us", "free-porn.tv", "payday-money.biz")
+ORDINARY = ("gardeners.eu", "library.town.ca", "www.physics-lectures.at", "historymuseum.nl", "weather-maps.ch", "railwaystation.it",
+            "recipes-and-cooking.us", "www.universitypress.pl", "woodland-walks.example.net", "teachers-college.au")
+
+
+def test_verdicts_at_the_threshold_on_sites_outside_the_table(spark, model):
+    hosts = {h.lower() for h, _, _ in labelled_urls()}
+    words = {w for h in hosts for w in h.split(".")}
+    assert not any(h in hosts or h.split(".")[0] in words - {"www"} for h in UNWANTED + ORDINARY)
+    rows = [(i, f"http://{h}/fr/51", h in UNWANTED) for i, h in enumerate(UNWANTED + ORDINARY)]
+    got = judge_urls(spark.createDataFrame(rows, "page_id long, url string, bad boolean"), model).collect()
+    wrong = [(r.host, r.p_block) for r in got if (r.verdict == "block") != r.bad and r.rule is None]
+    assert len(wrong) <= 4, wrong  # of 20
+
+
+def test_no_site_of_the_driver_tables_is_in_the_table(spark):
+    table_hosts = {w for h, _, _ in labelled_urls() for w in h.split(".")} - {"www", "m", "blog", "com", "net", "org"}
+    for sf in ("sf0.001", "sf0.01", "sf0.1"):
+        for r in table(spark, f"/root/testdata/{sf}", "pages").selectExpr("split(url, '/')[2] AS host").distinct().collect():
+            assert not table_hosts & set(r.host.split(".")), r.host
