@@ -202,3 +202,34 @@ def test_rank_within_with_a_payload_and_many_rows(spark):
     from pyspark.sql import Window
     want = df.select("id", F.row_number().over(Window.partitionBy("g").orderBy("k", "id")).alias("r"))
     assert got.join(want, "id").where("rank = r and payload is not null").count() == 200_000
+
+
+def _blobs(spark, n=400):
+    rnd = random.Random(8)
+    rows = [(i, [float(i % 2 == 0) + rnd.gauss(0, 0.05), float(i % 2) + rnd.gauss(0, 0.05), rnd.gauss(0, 0.05)]) for i in range(n)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    from textrisk.operators.clustering import document_vectors
+    return document_vectors(df, "embedding")
+
+
+def test_seed_and_size_sweeps_have_distance_outliers(spark):
+    from textrisk.operators import clustering as K
+    vectors = _blobs(spark)
+    for r in K.sweep_seeds(vectors, "vec_id", "vector", [3, 4], n_clusters=2, min_cluster_size=10, dims=2).collect():
+        assert r.n_topics == 2 and 0.02 < r.outlier_ratio < 0.08
+    far = K.distance_outliers(K.reduce_dims(vectors, "vector", 2), "reduced", 2, 3)
+    n_far = far.where("cluster = -1").count()
+    got = K.assignments_by_min_size(far, "vec_id", [10, 15])
+    assert n_far >= 15 and got.count() == 800
+    assert got.where("topic = -1").count() == 2 * n_far and got.agg(F.max("topic")).first()[0] == 1
+
+
+def test_top_words_with_counts_per_seed(spark):
+    from textrisk.operators.clustering import sweep_top_words
+    rows = [(i, "apple pear" if i % 3 else "engine wheel") for i in range(30)]
+    prep = spark.createDataFrame(rows, "doc_id long, finalized string")
+    asg = prep.select(F.lit(5).alias("setting"), "doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("topic")).unionByName(
+        prep.select(F.lit(6).alias("setting"), "doc_id", F.when(F.col("doc_id") < 4, -1).otherwise(0).alias("topic")))
+    got = {(r.setting, r.topic): (r.n_docs, r.top_words) for r in sweep_top_words(prep, asg, [5, 6], top_n=2).collect()}
+    assert {k: v[0] for k, v in got.items()} == {(5, 0): 20, (5, 1): 10, (6, 0): 26}
+    assert not set("engine wheel".split()) & set(got[5, 0][1].split()) and "engine" in got[5, 1][1]

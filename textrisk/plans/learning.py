@@ -96,11 +96,12 @@ SIZES = [50, 60, 70, 80, 90, 100]
 
 
 def _doc_clusters(spark, sf, n_clusters, seeds):
-    """Prepared documents, hashed tf-idf vectors, PCA(5), one k-means per seed."""
+    """Prepared documents, hashed tf-idf vectors, PCA(5), one k-means per
+    seed, rows far from their centre as outliers."""
     prep = prepared(spark, sf)
     reduced = K.reduce_dims(K.text_vectors(prep.select("doc_id", "tokens"), "tokens"), "vector", 5)
     reduced = materialize(reduced.select("doc_id", "reduced"))
-    return prep, {s: K.cluster(reduced, "reduced", n_clusters, s) for s in seeds}
+    return prep, {s: K.distance_outliers(reduced, "reduced", n_clusters, s) for s in seeds}
 
 
 @query("topic_model_sweep", "F11-F14, F16-F19 (fitted, min size sweep)")
@@ -114,10 +115,8 @@ def topic_model_sweep(spark, sf):
     return out.withColumnRenamed("setting", "min_cluster_size")
 
 
-@query("topic_seed_sweep", "F20 (fitted, seeds), D16")
-def topic_seed_sweep(spark, sf):
-    """Five k-means seeds besides the primary one at a fixed minimum size,
-    each with the full metric row."""
+def _seed_topics(spark, sf):
+    """(prepared documents, (setting = seed, doc_id, topic), seeds) of the seed runs."""
     seeds = K.draw_seeds(5, exclude=SEED)
     prep, clusters = _doc_clusters(spark, sf, 12, seeds)
     parts = []
@@ -126,4 +125,19 @@ def topic_seed_sweep(spark, sf):
     asg = parts[0]
     for p in parts[1:]:
         asg = asg.unionByName(p)
+    return prep, asg, seeds
+
+
+@query("topic_seed_sweep", "F20 (fitted, seeds), D16")
+def topic_seed_sweep(spark, sf):
+    """Five k-means seeds besides the primary one at a fixed minimum size,
+    each with the full metric row."""
+    prep, asg, seeds = _seed_topics(spark, sf)
     return K.sweep_metrics(prep, asg, seeds).withColumnRenamed("setting", "seed")
+
+
+@query("topic_seed_words", "F20 (top words with counts per seed)")
+def topic_seed_words(spark, sf):
+    """Size and top words of every topic of the same seed runs."""
+    prep, asg, seeds = _seed_topics(spark, sf)
+    return K.sweep_top_words(prep, asg, seeds).withColumnRenamed("setting", "seed")
