@@ -69,3 +69,20 @@ def test_no_python_in_the_plan(spark, docs_of):
     plan = scan_secrets(docs_of(TEXTS))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert scan_secrets(docs_of([])).count() == 0
+
+
+RANDOM = "tQ9vLz3KfW8nRb2XyJ5mHc7GpD4sUa6EoT1iYwZk"
+
+
+def test_windows_slide_over_what_base_spans_and_harmless_segments_leave(docs_of):
+    def dense(text):
+        return [text[s.start:s.end] for s in scan_secrets(docs_of([(1, text)])).collect()[0].all_spans if s.kind == "entropy_base64"]
+
+    assert dense(f"see hooks/example/{RANDOM} here") == [RANDOM]
+    assert RANDOM in dense(f"see 0a1b2c3d4e5f6071/{RANDOM} here")[0]
+    assert dense("key QwErTyUiOpAsDfGhJkLzXcVb here") == ["QwErTyUiOpAsDfGhJkLzXcVb"]  # no digit
+    slashed = RANDOM[:12] + "/ab/" + RANDOM[12:26]
+    assert dense(f"k {slashed} e") == [slashed]
+    for harmless in ("src/main/resources/templates/example/index", "AbstractSingletonProxyFactoryBean", "EXAMPLE" + RANDOM,
+                     "some_LONG-words/with-slashes-2024", "queelleaiierelletion"):
+        assert dense(f"a {harmless} b") == [], harmless

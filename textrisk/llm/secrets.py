@@ -5,7 +5,9 @@ The entropy kinds look at candidate strings of one character class. A window sli
 over the candidate; the sum of c log2 c over its character counts is updated by
 the character that enters and the one that leaves, and the span runs from the first
 to the end of the last window whose Shannon entropy reaches the class's threshold.
-Candidates that an allow-list pattern matches, or that touch a base span, are left out.
+Base spans are cut out of the candidates first, and windows slide over what remains. The
+allow list is applied to the dense span's segments (between / and =), not to the whole
+candidate: a span keeps the parts of it that are not known to be harmless.
 
 Positions count code points, ends are exclusive. A match's start is the length of
 the texts between matches and of the matches before it (split and extract of the
@@ -42,13 +44,16 @@ class CharClass:
 
 CLASSES = (
     CharClass("entropy_hex", r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{16,}", 16, 2.8),
-    CharClass("entropy_base64", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}", 20, 3.6),
+    CharClass("entropy_base64", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}", 20, 3.6),
 )
 
-# Known harmless strings: documentation keys, placeholders, plain alphabets, single-case
-# words joined by - or _, dates and numbers.
-ALLOW = (r"(?i)example|sample|placeholder|x{6,}|0123456789|abcdefgh"
-         r"|^[0-9_+/-]+$|^[a-z]+([_/-][a-z]+)*$|^[a-z]+[_/-][a-z_/-]*[0-9]{1,4}$")
+# Known harmless strings: documentation keys, placeholders, plain alphabets, words joined
+# by - or _ (letters whose case does not change within one or two letters, then a short
+# number), dates and numbers. Looked for in path segments and dense spans.
+ALLOW = (r"(?i:example|sample|placeholder|x{6,}|0123456789|abcdefgh)|^[0-9_+/-]+$"
+         r"|^(?!.*(?<![a-z])[a-z]{1,2}[A-Z])(?:[A-Za-z_/+-]+|[A-Za-z]+[_/-][A-Za-z_/-]*[0-9]{1,4})$")
+SHORT = 4  # a harmless segment under this length does not part its neighbours: keys hold / too
+PIECES = "array<struct<start:int,end:int>>"
 
 
 def _from(c: Column, i: Column) -> Column:
@@ -100,18 +105,55 @@ def dense_windows(word: Column, window: int, bits: float) -> Column:
     return F.struct(end["lo"].alias("lo"), end["hi"].alias("hi"))
 
 
+def outside(place: Column, base: Column) -> Column:
+    """The pieces of ``place`` that no span of the sorted ``base`` covers."""
+    def piece(start: Column, end: Column) -> Column:
+        return F.array(F.struct(start.cast("int").alias("start"), end.cast("int").alias("end")))
+
+    def step(state: Column, b: Column) -> Column:
+        return F.struct(F.greatest(state["at"], b["end"]).alias("at"),
+                        F.concat(state["out"], piece(state["at"], b["start"])).cast(PIECES).alias("out"))
+
+    cuts = F.filter(base, lambda b: (b["start"] < place["end"]) & (place["start"] < b["end"]))
+    start = F.struct(place["start"].alias("at"), F.array().cast(PIECES).alias("out"))
+    return F.aggregate(cuts, start, step, lambda s: F.concat(s["out"], piece(s["at"], place["end"])))
+
+
+def open_runs(piece: Column, word: Column, allow: str) -> Column:
+    """The runs of path segments of ``word``, a piece's text, that are not harmless; the
+    whole piece if nothing in it is."""
+    def run(start: Column, end: Column) -> Column:
+        return F.array(F.struct(start.cast("int").alias("start"), end.cast("int").alias("end")))
+
+    def step(state: Column, segment: Column) -> Column:
+        end = (state["at"] + F.char_length(segment)).cast("int")
+        harmless = segment.rlike(allow) & (F.char_length(segment) >= SHORT)
+        return F.struct((end + 1).alias("at"), F.when(harmless, end + 1).otherwise(state["run"]).cast("int").alias("run"),
+                        F.when(harmless, F.concat(state["out"], run(state["run"], state["at"]))).otherwise(state["out"])
+                        .cast(PIECES).alias("out"))
+
+    start = F.struct(piece["start"].alias("at"), piece["start"].alias("run"), F.array().cast(PIECES).alias("out"))
+    runs = F.aggregate(F.split(word, "/", -1), start, step, lambda s: F.concat(s["out"], run(s["run"], piece["end"])))
+    return F.when(word.rlike(allow), runs).otherwise(F.array(piece).cast(PIECES))
+
+
 def entropy_spans(text: Column, base: Column, cls: CharClass, rank: int, allow: str = ALLOW) -> Column:
+    def cut(p: Column) -> Column:
+        return F.substring(text, p["start"] + 1, p["end"] - p["start"])
+
+    def long_enough(pieces: Column) -> Column:
+        return F.filter(pieces, lambda p: p["end"] - p["start"] >= cls.window)
+
     places = matches(text, cls.pattern, cls.kind, rank)
-    # Allow-listed candidates and those that touch a base span go before any window slides.
-    free = F.filter(places, lambda p: ~F.exists(base, lambda b: (b["start"] < p["end"]) & (p["start"] < b["end"]))
-                    & ~F.substring(text, p["start"] + 1, p["end"] - p["start"]).rlike(allow))
+    pieces = long_enough(F.flatten(F.transform(places, lambda p: outside(p, base))))
+    runs = long_enough(F.flatten(F.transform(pieces, lambda p: open_runs(p, cut(p), allow))))
 
     def judge(p: Column) -> Column:
-        seen = dense_windows(F.substring(text, p["start"] + 1, p["end"] - p["start"]), cls.window, cls.bits)
-        return F.struct((p["start"] + seen["lo"]).alias("start"), p["rank"].alias("rank"), p["kind"].alias("kind"),
+        seen = dense_windows(cut(p), cls.window, cls.bits)
+        return F.struct((p["start"] + seen["lo"]).alias("start"), F.lit(rank).alias("rank"), F.lit(cls.kind).alias("kind"),
                         (p["start"] + seen["hi"]).alias("end"))
 
-    return F.filter(F.transform(free, judge), lambda p: p["start"].isNotNull()).cast(SPAN)
+    return F.filter(F.transform(runs, judge), lambda p: p["start"].isNotNull() & ~cut(p).rlike(allow)).cast(SPAN)
 
 
 def listed(spans: Column) -> Column:
