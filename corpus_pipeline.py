@@ -14,14 +14,18 @@ from pyspark.sql import functions as F
 from textrisk.llm.common import table, written
 from textrisk.llm.exact_dedup import exact_dedup
 from textrisk.llm.jaccard_join import jaccard_components
-from textrisk.llm.langid import identify, train
+from textrisk.llm.langid import identify, train, with_letters
 from textrisk.llm.mixing import mixed_documents
 from textrisk.llm.packing import cut_pieces, pack
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is found; those without a letter (und) go."""
-    return identify(docs, train(docs)).where(F.col("_lang.lang_pred") != "und").select(*docs.columns)
+    """Documents in which a language is found; those without a letter (und) go. Without
+    any usable label the model has no language, and every text with a letter stays."""
+    model = train(docs)
+    if not model["langs"]:
+        return with_letters(docs)
+    return identify(docs, model).where(F.col("_lang.lang_pred") != "und").select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

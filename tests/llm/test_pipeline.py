@@ -44,3 +44,31 @@ def test_odd_rows_pass_every_stage(spark):
 def test_empty_documents(spark, k):
     empty = table(spark, SF, "documents").limit(0)
     assert corpus_pipeline.STAGES[k][1](spark, empty, SF).count() == 0
+
+
+def small_corpus():
+    from test_jaccard_join import corpus
+    texts = corpus(4) + [(900, "1 2 3 ... 4"), (901, ""), (902, None), (903, "é"), (904, "Ω 7"), (905, "_ _"), (906, "123 four")]
+    return [(d, t, "en" if d % 2 else "de", "ab"[d % 2], len(t or "")) for d, t in texts]
+
+
+@pytest.mark.parametrize("labels", ["all", "none", "held out only"])
+def test_language_stage_keeps_every_text_with_a_letter(spark, labels):
+    from textrisk.llm.langid import held_out
+    schema = table(spark, SF, "documents").schema
+    docs = spark.createDataFrame(small_corpus(), schema)
+    if labels == "none":
+        docs = docs.selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang", "source", "n_chars")
+    elif labels == "held out only":
+        from pyspark.sql import functions as F
+        docs = docs.withColumn("lang", F.when(held_out(), F.col("lang")))
+    got = sorted(r.doc_id for r in corpus_pipeline.language_id(spark, docs, SF).collect())
+    assert got == sorted(d for d, t, *_ in small_corpus() if any(c.isalpha() for c in t or ""))
+
+
+def test_near_copies_match_brute_force(spark):
+    from test_jaccard_join import brute
+    rows = [r for r in small_corpus() if r[1]]
+    docs = spark.createDataFrame(rows, table(spark, SF, "documents").schema)
+    want = sorted(d for d, _, least in brute([r[:2] for r in rows]) if d == least)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, SF).collect()) == want and len(want) < len(rows)

@@ -211,6 +211,15 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     return docs.withColumn("_lang", predict(F.col(text_col)))
 
 
+def with_letters(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows in whose text a language could be found: those with a letter."""
+    @F.pandas_udf("boolean")
+    def some(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: bool(_letters(t or "")), na_action=None).astype(bool)
+
+    return docs.where(some(F.col(text_col)))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, train(docs)).select(
