@@ -14,6 +14,7 @@ from textrisk.llm.html_text import op2_html_extraction
 from textrisk.llm.jaccard_join import op10_ngram_jaccard_join
 from textrisk.llm.langid import op7_language_id
 from textrisk.llm.licenses import op8_license_scan
+from textrisk.llm.merkle import OP13_SQL, op13_merkle_manifest
 from textrisk.llm.mixing import op9_mix_sources
 from textrisk.llm.packing import op6_best_fit_packing
 from textrisk.llm.secrets import op3_secret_scan
@@ -45,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_mix_sources": op9_mix_sources,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 OP10_SQL = r"""
@@ -66,4 +68,5 @@ SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce(min(r.b), n.doc_id)
 FROM n LEFT JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n.n
 """
 
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op10_ngram_jaccard_join": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op10_ngram_jaccard_join": OP10_SQL,
+                           "op13_merkle_manifest": OP13_SQL}
