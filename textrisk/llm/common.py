@@ -68,3 +68,12 @@ def worker_cache(name: str) -> dict:
     pickled by value, so module globals are new in every task.)"""
     holder = sys.modules.setdefault("_textrisk_worker", types.ModuleType("_textrisk_worker"))
     return holder.__dict__.setdefault(name, {})
+
+
+def tokenizer_file(name: str) -> str:
+    """The place of a tokenizer's file in this process: ``name`` is a path, or a name that
+    the public tokenizers' package resolves."""
+    if "/" in name:
+        return name
+    import public_tokenizers
+    return str(public_tokenizers.path(name))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textrisk.llm.common import table
+from textrisk.llm.decontaminate import OP11_SQL, op11_benchmark_decontamination
 from textrisk.llm.exact_dedup import dedup_classes
 from textrisk.llm.fingerprints import op5_document_fingerprints
 from textrisk.llm.html_text import op2_html_extraction
@@ -18,6 +19,7 @@ from textrisk.llm.merkle import OP13_SQL, op13_merkle_manifest
 from textrisk.llm.mixing import op9_mix_sources
 from textrisk.llm.packing import op6_best_fit_packing
 from textrisk.llm.secrets import op3_secret_scan
+from textrisk.llm.token_alignment import op12_token_alignment
 from textrisk.llm.url_filter import op4_url_filter
 
 
@@ -46,6 +48,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_mix_sources": op9_mix_sources,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_benchmark_decontamination": op11_benchmark_decontamination,
+    "op12_token_alignment": op12_token_alignment,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -69,4 +73,4 @@ FROM n LEFT JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n.n
 """
 
 ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op10_ngram_jaccard_join": OP10_SQL,
-                           "op13_merkle_manifest": OP13_SQL}
+                           "op11_benchmark_decontamination": OP11_SQL, "op13_merkle_manifest": OP13_SQL}
