@@ -4,19 +4,25 @@ the training-fold TF-IDF term table are checked against SQL."""
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from textrisk.operators import baselines as B
 from textrisk.operators import clustering as K
+from textrisk.operators import density as DN
 from textrisk.operators import evaluate as E
+from textrisk.operators import spectral as SP
+from textrisk.operators import sweeps as SW
+from textrisk.operators import topics as TP
 from textrisk.plans import sqlfrag as Q
 from textrisk.plans.evaluation import lex_hit
 from textrisk.plans.registry import query
-from textrisk.plans.topics import prepared
+from textrisk.plans.topics import prepared, source_key
 from textrisk.session import materialize
 from textrisk.sources.readers import table
 
 K_FOLDS, SEED, MAX_FEATURES = 5, 42, 5000
+FINAL_SIZE = 90
 
 
 def labelled_docs(spark, sf):
@@ -79,9 +85,79 @@ def _vectors(spark, sf):
     return K.document_vectors(emb, "embedding")
 
 
+MIN_SAMPLES, NEIGHBOURS, TEXT_DIMS = 10, 15, 32
+
+
+@query("core_distances", "F13 (core distances)", f"""
+WITH e AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+u AS (SELECT vec_id, i, CAST(x AS DOUBLE) / sqrt(sum(CAST(x AS DOUBLE) * x) OVER (PARTITION BY vec_id)) AS x FROM e),
+d AS (SELECT a.vec_id, b.vec_id AS o, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS d
+      FROM u a JOIN u b ON a.i = b.i AND a.vec_id <> b.vec_id GROUP BY 1, 2)
+SELECT vec_id, round(max(d), 6) AS core FROM (
+  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, o) AS r FROM d) WHERE r <= {MIN_SAMPLES} GROUP BY vec_id""")
+def core_distances(spark, sf):
+    """Distance of every unit vector to its tenth nearest other one."""
+    points, members = DN.weighted_points(table(spark, sf, "embeddings", ["vec_id", "embedding"]), "vec_id", "embedding")
+    cores = DN.core_distances(points, DN.near_points(DN.in_blocks(points), 2 * MIN_SAMPLES), MIN_SAMPLES)
+    return members.join(cores, "id").select(F.col("row").alias("vec_id"), F.round("core", 6).alias("core"))
+
+
+_MODELS: dict[tuple, tuple] = {}
+
+
+def fitted(spark, sf):
+    """(prepared documents, points, members, tree) of the density model of all documents, once per session
+    and source: hashed tf-idf vectors, PCA, neighbour embedding, spanning tree."""
+    key = source_key(spark, sf, "density")
+    if key not in _MODELS:
+        prep = prepared(spark, sf)
+        vectors = K.reduce_dims(K.text_vectors(prep.select("doc_id", "tokens"), "tokens"), "vector", TEXT_DIMS)
+        vectors = vectors.select("doc_id", vector_to_array("reduced").alias("x"))
+        texts, of_row = DN.weighted_points(vectors, "doc_id", "x")
+        placed = SP.neighbour_embedding(DN.near_points(DN.in_blocks(texts), NEIGHBOURS))
+        points, members, tree = DN.density_model(placed, "id", "x", MIN_SAMPLES, unit=False)
+        rows = of_row.join(members.select(F.col("row").alias("id"), F.col("id").alias("point")), "id").select(
+            "row", F.col("point").alias("id"))
+        # Documents whose vectors are equal are one point: its weight counts them all.
+        weights = rows.groupBy("id").agg(F.count(F.lit(1)).alias("weight"))
+        points = materialize(points.drop("weight").join(weights, "id"), "points")
+        _MODELS[key] = prep, points, materialize(rows, "rows"), tree
+    return _MODELS[key]
+
+
+def fitted_topics_of(spark, sf, sizes):
+    """(prepared documents, (setting, doc_id, topic, membership)) of the fitted model."""
+    prep, points, members, tree = fitted(spark, sf)
+    swept = DN.density_sweep(points, members, tree, sizes).withColumnRenamed("row", "doc_id")
+    return prep, materialize(swept, "swept")
+
+
 @query("topic_assign", "F11, F12, F13")
 def topic_assign(spark, sf):
-    return K.topic_assign(_vectors(spark, sf), "vec_id", "vector", n_clusters=10, min_cluster_size=30, seed=SEED)
+    """Topic and membership of every prepared document (minimum size 90 as in the published model)."""
+    return fitted_topics_of(spark, sf, [FINAL_SIZE])[1].drop("setting")
+
+
+@query("fitted_topic_info", "F13, F15, F21, F22, F23 (fitted model)")
+def fitted_topic_info(spark, sf):
+    """Every topic of the fitted model with size, name, words and its representative documents: three by
+    membership, and two more on request."""
+    prep, found = fitted_topics_of(spark, sf, [FINAL_SIZE])
+    weights = SW.setting_weights(SW.setting_term_counts(prep, found.select("setting", "doc_id", "topic")))
+    info = SW.setting_topic_info(found, SW.setting_top_terms(weights, 10, include_outliers=True)).drop("setting")
+    best = TP.representative_docs(found.where("topic <> -1"), "doc_id", "membership", 5)
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda s: s["doc_id"])
+    best = best.groupBy("topic").agg(ids.alias("_ids"), F.round(F.max("membership"), 6).alias("top_membership"))
+    return info.join(best, "topic", "left").select(
+        "topic", "count", "name", "representation", "top_membership",
+        F.slice("_ids", 1, 3).alias("representatives"), F.slice("_ids", 4, 2).alias("more_representatives"))
+
+
+@query("fitted_document_topics", "F21 (fitted model)")
+def fitted_document_topics(spark, sf):
+    """Every prepared document with its fitted topic, attached by key."""
+    prep, found = fitted_topics_of(spark, sf, [FINAL_SIZE])
+    return TP.document_topics(prep.select("doc_id", "finalized"), found.select("doc_id", "topic", "membership"), "doc_id")
 
 
 @query("seed_sweep", "F20, D16")
@@ -106,13 +182,19 @@ def _doc_clusters(spark, sf, n_clusters, seeds):
 
 @query("topic_model_sweep", "F11-F14, F16-F19 (fitted, min size sweep)")
 def topic_model_sweep(spark, sf):
-    """Cluster the documents once, then for every minimum size: small
-    clusters -> outliers, renumber, and report topics, outlier ratio, C_V,
-    C_NPMI and diversity."""
-    prep, clusters = _doc_clusters(spark, sf, 12, [SEED])
-    asg = K.assignments_by_min_size(clusters[SEED], "doc_id", SIZES)
-    out = K.sweep_metrics(prep, asg, SIZES)
-    return out.withColumnRenamed("setting", "min_cluster_size")
+    """One spanning tree, and for every minimum size its topics with outlier ratio, C_V, C_NPMI and
+    diversity, all sizes in the same jobs."""
+    prep, found = fitted_topics_of(spark, sf, SIZES)
+    return K.sweep_metrics(prep, found.select("setting", "doc_id", "topic"), SIZES).withColumnRenamed("setting", "min_cluster_size")
+
+
+@query("topic_sweep_info", "F15, F19 (fitted, per size)")
+def topic_sweep_info(spark, sf):
+    """topic_info of the fitted model for every minimum size."""
+    prep, found = fitted_topics_of(spark, sf, SIZES)
+    weights = SW.setting_weights(SW.setting_term_counts(prep, found.select("setting", "doc_id", "topic")))
+    return SW.setting_topic_info(found, SW.setting_top_terms(weights, 10, include_outliers=True)).withColumnRenamed(
+        "setting", "min_cluster_size")
 
 
 def _seed_topics(spark, sf):

@@ -9,18 +9,17 @@ Topic assignments that SQL can reproduce:
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from textrisk.lexicons import lemma_pairs, topic_stopwords
 from textrisk.operators import coherence as CO
+from textrisk.operators import sweeps as SW
 from textrisk.operators import textprep as P
 from textrisk.operators import topics as TP
 from textrisk.plans import sqlfrag as Q
 from textrisk.plans.registry import query
 from textrisk.session import materialize
-from textrisk.sources.readers import table
+from textrisk.sources.readers import source_stamp, table
 
 SIZES = [50, 60, 70, 80, 90, 100]
 TOP_N = 10
@@ -37,18 +36,17 @@ def source_topic(c="source"):
 _WRITTEN: dict[tuple, object] = {}
 
 
-def _source_key(spark, sf, what):
-    path = os.path.join(sf, "documents.parquet")
-    stamp = os.path.getmtime(path) if os.path.exists(path) else None
-    return (spark.sparkContext.applicationId, os.path.abspath(sf), stamp, what)
+def source_key(spark, sf, what):
+    path = f"{sf.rstrip('/')}/documents.parquet"
+    return (spark.sparkContext.applicationId, path, source_stamp(spark, path), what)
 
 
 def prepared(spark, sf):
     """Prepared rows (cleaned, de-duplicated, tokens, finalized), written once
     per session and source to the shared checkpoint folder; every later
     topic query of the session reads those files instead of preparing the
-    text again (keyed by application, folder and file time)."""
-    key = _source_key(spark, sf, "prepared")
+    text again (keyed by application, folder and the folder's stamp)."""
+    key = source_key(spark, sf, "prepared")
     if key not in _WRITTEN:
         docs = table(spark, sf, "documents", ["doc_id", "text", "source"])
         docs = docs.select("doc_id", "text", source_topic().alias("topic"))
@@ -63,7 +61,7 @@ def analyzed(spark, sf):
 def class_weights(spark, sf, prep=None):
     """c-TF-IDF weights; the class-term counts are written once per session
     and source (they already pass through the shared folder)."""
-    key = _source_key(spark, sf, "class_counts")
+    key = source_key(spark, sf, "class_counts")
     if key not in _WRITTEN:
         prep = prepared(spark, sf) if prep is None else prep
         _WRITTEN[key] = TP.class_term_counts(prep, "topic", "doc_id", "finalized")
@@ -73,7 +71,7 @@ def class_weights(spark, sf, prep=None):
 def topic_words(spark, sf, prep=None):
     """Top words of every non-outlier topic, written once per session and
     source (small, reused by coherence and diversity)."""
-    key = _source_key(spark, sf, "topic_words")
+    key = source_key(spark, sf, "topic_words")
     if key not in _WRITTEN:
         _WRITTEN[key] = materialize(TP.top_terms(class_weights(spark, sf, prep), TOP_N).select("topic", "term"))
     return _WRITTEN[key]
@@ -321,6 +319,52 @@ def min_size_topics(spark, sf):
 
 
 # ------------------------------------------------------------------ F21
+INFO_SIZES = [20, 40, 60, 100]
+
+
+def _sweep_words_sql():
+    return f"""
+WITH {_prep_sql().strip()},
+st AS (SELECT unnest({INFO_SIZES}) AS setting),
+sz AS (SELECT topic, count(*) AS n FROM prep WHERE topic <> -1 GROUP BY topic),
+ren AS (SELECT setting, topic AS old, row_number() OVER (PARTITION BY setting ORDER BY n DESC, topic) - 1 AS topic
+        FROM sz, st WHERE n >= setting),
+asg AS (SELECT st.setting, doc_id, CAST(coalesce(ren.topic, -1) AS INTEGER) AS topic
+        FROM prep CROSS JOIN st LEFT JOIN ren ON ren.setting = st.setting AND ren.old = prep.topic),
+tk AS (SELECT a.setting, a.topic, doc_id, t, terms FROM terms JOIN asg a USING (doc_id) WHERE len(t) > 0),
+inn AS (SELECT setting, topic, term, count(*) AS c FROM (SELECT setting, topic, unnest(terms) AS term FROM tk) GROUP BY ALL),
+bnd AS (SELECT setting, topic, t[len(t)] || ' ' || lead(t[1]) OVER (PARTITION BY setting, topic ORDER BY doc_id) AS term FROM tk),
+counts AS (SELECT setting, topic, term, CAST(sum(c) AS BIGINT) AS count FROM (
+             SELECT * FROM inn UNION ALL SELECT setting, topic, term, 1 FROM bnd WHERE term IS NOT NULL) GROUP BY ALL),
+pt AS (SELECT setting, topic, sum(count) AS total FROM counts GROUP BY ALL),
+pf AS (SELECT setting, term, sum(count) AS f FROM counts GROUP BY ALL),
+aa AS (SELECT setting, CAST(floor(avg(total)) AS BIGINT) AS a FROM pt GROUP BY setting),
+w AS (SELECT c.setting, c.topic, c.term,
+             round(sqrt(c.count / pt.total) * ln(1 + (aa.a - pf.f + 0.5) / (pf.f + 0.5)), 12) AS weight
+      FROM counts c JOIN pt USING (setting, topic) JOIN pf USING (setting, term) JOIN aa USING (setting)),
+kw AS (SELECT setting, topic, list(term ORDER BY rank) AS words FROM (
+         SELECT *, row_number() OVER (PARTITION BY setting, topic ORDER BY weight DESC, term) AS rank FROM w WHERE weight > 0)
+       WHERE rank <= {TOP_N} GROUP BY ALL),
+n AS (SELECT setting, topic, count(*) AS count FROM asg GROUP BY ALL)
+SELECT n.setting AS min_size, n.topic, n.count,
+       CAST(n.topic AS VARCHAR) || '_' || array_to_string(coalesce(kw.words[1:4], []), '_') AS name,
+       array_to_string(coalesce(kw.words, []), ' | ') AS representation
+FROM n LEFT JOIN kw USING (setting, topic)"""
+
+
+@query("min_size_topic_info", "F19, F15 (topic words of every size in one pass)", _sweep_words_sql())
+def min_size_topic_info(spark, sf):
+    """The topics of the documents for every minimum size, with their words, from one count of all terms."""
+    prep = prepared(spark, sf)
+    renamed = TP.apply_min_size(prep, INFO_SIZES).select("cluster", F.col("min_size").alias("setting"), F.col("topic").alias("_t"))
+    settings = F.explode(F.array(*[F.lit(s) for s in INFO_SIZES])).alias("setting")
+    asg = (prep.select("doc_id", F.col("topic").alias("cluster"), settings).join(renamed, ["setting", "cluster"], "left")
+           .select("setting", "doc_id", F.coalesce("_t", F.lit(-1)).cast("int").alias("topic")))
+    weights = SW.setting_weights(SW.setting_term_counts(prep, asg)).withColumn("weight", F.round("weight", 12))
+    return SW.setting_topic_info(asg, SW.setting_top_terms(weights, TOP_N, include_outliers=True)).withColumnRenamed(
+        "setting", "min_size")
+
+
 @query("document_topics", "F21, H2", f"""
 WITH {_prep_sql().strip()},
 asg AS (SELECT doc_id, {_TOPIC_SQL_EXPR} AS assigned FROM documents)

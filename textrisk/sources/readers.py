@@ -30,13 +30,22 @@ def table(spark: SparkSession, sf_dir: str, name: str, cols: Sequence[str] | Non
     df = spark.read.parquet(path)
     parts = int(spark.conf.get(TEXT_PARTITIONS, "0"))
     if parts and any(c in df.columns for c in TEXT_COLUMNS):
-        key = (spark.sparkContext.applicationId, path, parts)
+        key = (spark.sparkContext.applicationId, path, source_stamp(spark, path), parts)
         if key not in _SPREAD:
             _SPREAD[key] = deal(df, parts)
         df = _SPREAD[key]
     return df.select(*cols) if cols else df
 
 
+def source_stamp(spark: SparkSession, path: str) -> tuple:
+    """What tells a rewritten table from the one read before, in any store that Spark reads: bytes,
+    files and time of its folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    held = fs.getContentSummary(at)
+    return held.getLength(), held.getFileCount(), fs.getFileStatus(at).getModificationTime()
+
+
 def deal(df: DataFrame, parts: int) -> DataFrame:
     """``df`` dealt into ``parts`` parts, written once to the shared folder.
 
