@@ -106,3 +106,40 @@ def test_chain_of_links(spark):
 def test_shingles_of_few_words():
     assert len(shingles("a b")) == 1 and len(shingles("a b c d e f")) == 2 and len(shingles(" ")) == 0
     assert shingles("a b")[0] != shingles("a b c")[0]
+
+
+def test_classes_whose_names_collide_stay_apart(docs_of, as_rows, monkeypatch):
+    whole = jaccard_join.set_class
+    monkeypatch.setattr(jaccard_join, "set_class", lambda hashes: (whole(hashes)[0] % 3, whole(hashes)[1]))
+    rows = corpus(5) + EDGE
+    assert as_rows(jaccard_components(docs_of(rows))) == brute(rows)
+
+
+def test_pairs_of_a_group_of_copies_grow_in_proportion(docs_of, as_rows, monkeypatch):
+    """Copies of one text, each with edits of its own, link to it and mostly not to each other."""
+    rnd = random.Random(8)
+    source = [f"w{i}" for i in range(120)]
+
+    def copies(n):
+        rows = [(0, " ".join(source))]
+        for i in range(1, n):
+            words = list(source)
+            for k in range(3):
+                words[rnd.randrange(40 * k, 40 * k + 40)] = f"own{i}x{k}"
+            rows.append((i, " ".join(words)))
+        return rows
+
+    tried, whole = [], jaccard_join._verified
+
+    def counting(pairs, *rest):
+        tried.append(pairs.count())
+        return whole(pairs, *rest)
+
+    monkeypatch.setattr(jaccard_join, "_verified", counting)
+    sums = []
+    for n in (40, 160):
+        rows = copies(n)
+        tried.clear()
+        assert {r[2] for r in as_rows(jaccard_components(docs_of(rows)))} == {0}
+        sums.append(sum(tried))
+    assert sums[1] <= 6 * sums[0]

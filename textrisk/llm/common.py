@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import sys
 import tempfile
@@ -40,7 +42,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     release_shuffles(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` whose last reader has been written itself."""
+    for t in tables:
+        sc = t.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(t._written_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release_shuffles(spark: SparkSession) -> None:
@@ -63,11 +75,17 @@ def words(c: Column) -> Column:
     return F.filter(F.split(F.coalesce(c, F.lit("")), SPACE), lambda w: w != "")
 
 
-def worker_cache(name: str) -> dict:
-    """A dictionary that outlives the task in a reused Python worker. (Functions are
-    pickled by value, so module globals are new in every task.)"""
-    holder = sys.modules.setdefault("_textrisk_worker", types.ModuleType("_textrisk_worker"))
-    return holder.__dict__.setdefault(name, {})
+def worker_cache(owner: str) -> dict:
+    """A dictionary of operator ``owner`` that outlives the task in a reused Python worker. (Functions
+    are pickled by value, so module globals are new in every task.) A worker holds one owner's
+    at a time: when another operator starts in it, the memory of the one before is given back."""
+    holder = sys.modules.setdefault("_textrisk_worker", types.ModuleType("_textrisk_worker")).__dict__
+    if holder.get("owner") != owner:
+        holder.update(owner=owner, held={})
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc can be asked for it
+            ctypes.CDLL(None).malloc_trim(0)
+    return holder["held"]
 
 
 def tokenizer_file(name: str) -> str:

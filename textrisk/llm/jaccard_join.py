@@ -5,14 +5,14 @@ dealt into ``GROUPS`` groups make a point of group counts; the summed minima of
 points bound the overlap of their sets, and the maximum corner of a tree node bounds
 the overlap with everything below it.
 
-1. Equal sets become one class, named by a 64-bit digest of the sorted set.
+1. Equal sets become one class, told apart by a 128-bit digest of the sorted set.
 2. Blocks: two sets that link share one of their ``|A| - ceil(t|A|) + 1`` first
    hashes under any common order. Here frequent hashes come last (a bounded sample of
    documents says which: this moves cost, never a result), then by value. A hash that
    only one class has is dropped at once.
-3. First links: of the smallest classes of its blocks, each class is tried with the one
-   it shares most with; verified pairs are joined into components, so that large groups
-   of near copies never need all their pairs.
+3. First links: each class is tried with the pivot it shares most blocks with, and in wide
+   blocks with further ones; verified pairs are joined into components, so that large
+   groups of near copies never need all their pairs.
 4. All remaining pairs between different components: each block with more than one
    component bulk-loads an R-tree over its points and queries it with each of them.
    A long block is cut into runs of ``LEAF_BLOCK`` points by size, and each pair of
@@ -30,16 +30,16 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textrisk.llm.common import lower_ascii, table, worker_cache, written
+from textrisk.llm.common import dropped, lower_ascii, table, worker_cache, written
 
 N = 5
 PERCENT = 75
@@ -50,27 +50,25 @@ QUERIES = 4096  # queries that go down a forest together
 PAIRS = 100_000  # bounds computed at a time
 TEXTS = 200  # texts handled at a time in a task
 SAMPLE_DOCS = 10_000
-FREQUENT = 10  # documents of the sample
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+FREQUENT = 3  # documents of the sample
+WIDE = 32  # classes of a block that gets further rounds of first links
+ROUNDS = 8
 MIX = np.uint64(0x9E3779B97F4A7C15)
-CACHE_WORDS = 300_000
-
-
-def _word_hash(word: str) -> int:
-    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+CACHE_WORDS = 150_000
 
 
 def shingles(text: str | None, n: int = N) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the ``n``-word shingles of a lower-cased text."""
-    found = WORD.findall(text or "")
+    # bytes.split() cuts at exactly 0x20 and 0x09-0x0D.
+    found = (text or "").encode("utf-8", "surrogatepass").split()
     if not found:
         return np.empty(0, dtype=np.uint64)
-    known = worker_cache("word-hashes")
+    known = worker_cache("ngram-jaccard")
     if len(known) > CACHE_WORDS:
         known.clear()
     for w in set(found):
         if w not in known:
-            known[w] = _word_hash(w)
+            known[w] = xxhash.xxh3_64_intdigest(w)
     h = np.fromiter(map(known.__getitem__, found), dtype=np.uint64, count=len(found))
     width = min(n, len(h))
     out = np.full(len(h) - width + 1, len(h) if len(h) < n else n, dtype=np.uint64)
@@ -152,20 +150,21 @@ def _count_up(lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
 
 
-def set_class(hashes: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_class(hashes: np.ndarray) -> tuple[int, int]:
+    """The two halves of a 128-bit digest of a sorted set."""
+    return tuple(np.frombuffer(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest(), dtype="<i8").tolist())
 
 
 def _sets(texts: DataFrame, frequent, n: int, percent: int) -> DataFrame:
-    """(doc, size, cls, points, keys): one row per row of texts. ``keys`` are the first
-    hashes of the set, given once per class and task."""
+    """(doc, size, cls, half, points, keys): one row per row of texts. ``points`` and ``keys``, the
+    first hashes of the set, are given once per class and task."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         late, done = frequent.value, set()
         for f in (f.iloc[a:a + TEXTS] for f in frames for a in range(0, len(f), TEXTS)):
             rows = []
             for i, t in zip(f["i"], f["t"], strict=True):
                 s = shingles(t, n)
-                cls, keys = set_class(s), None
+                cls, keys, points = set_class(s), None, None
                 if len(s) and not pd.isna(i) and cls not in done:
                     done.add(cls)
                     keys = s
@@ -173,12 +172,28 @@ def _sets(texts: DataFrame, frequent, n: int, percent: int) -> DataFrame:
                         is_late = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
                         keys = np.concatenate([s[~is_late], s[is_late]])
                     keys = keys[:prefix_length(len(s), percent)].astype(np.int64)
-                rows.append((len(s), cls, point(s).astype("<u4").tobytes(), keys))
-            out = pd.DataFrame(rows, columns=["size", "cls", "points", "keys"])
+                    points = point(s).astype("<u4").tobytes()
+                rows.append((len(s), *cls, points, keys))
+            out = pd.DataFrame(rows, columns=["size", "cls", "half", "points", "keys"])
             out.insert(0, "doc", pd.array(f["i"], dtype="Int64"))
             yield out
 
-    return texts.mapInPandas(run, "doc long, size long, cls long, points binary, keys array<long>")
+    return texts.mapInPandas(run, "doc long, size long, cls long, half long, points binary, keys array<long>")
+
+
+def _named(sets: DataFrame) -> DataFrame:
+    """``sets`` whose ``cls`` tells classes apart: where two digests agree in the first half, all but one
+    get another name. (With 10^10 classes a few pairs do.)"""
+    attempt = 0
+    while True:
+        halves = sets.where("size > 0").select("cls", "half").distinct()
+        twice = halves.groupBy("cls").agg(F.min("half").alias("least"), F.max("half").alias("most")).where("least <> most")
+        if twice.isEmpty():
+            return sets
+        attempt += 1
+        sets = written(sets.join(twice.select("cls", "least"), "cls", "left").select(
+            "doc", "size", F.when(F.col("half") > F.col("least"), F.xxhash64("cls", "half", F.lit(attempt))).otherwise(
+                F.col("cls")).alias("cls"), "half", "points", "keys"), "sets")
 
 
 def _frequent(texts: DataFrame, n: int) -> np.ndarray:
@@ -201,19 +216,20 @@ def _frequent(texts: DataFrame, n: int) -> np.ndarray:
 
 
 def _packed_texts(texts: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cls, packed): the compressed text of each wanted class's smallest document; a row
+    """(cls, half, size, packed): the compressed text of each wanted class's smallest document; a row
     that repeats that doc_id with another text comes along and is told apart later."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in (f.iloc[a:a + TEXTS] for f in frames for a in range(0, len(f), TEXTS)):
-            yield pd.DataFrame({"i": f["i"], "packed": [
+            yield pd.DataFrame({"i": f["i"], "cls": f["cls"], "half": f["half"], "packed": [
                 zlib.compress(t.encode("utf-8", "surrogatepass"), 3) for t in f["t"]]})
 
-    reps = classes.join(wanted, "cls", "left_semi").select("cls", F.col("rep").alias("i"))
-    return texts.where("i is not null").mapInPandas(run, "i long, packed binary").join(reps, "i").select("cls", "packed")
+    reps = classes.join(wanted, "cls", "left_semi").select("cls", "half", F.col("rep").alias("i"))
+    return texts.join(reps, "i").select("i", "t", "cls", "half").mapInPandas(
+        run, "i long, cls long, half long, packed binary").drop("i")
 
 
-def _verified(pairs: DataFrame, packed: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets link."""
+def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose whole sets link, written. Only texts of classes in a pair move."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def unpack(z: bytes) -> np.ndarray:
             return shingles(zlib.decompress(z).decode("utf-8", "surrogatepass"), n)
@@ -221,18 +237,24 @@ def _verified(pairs: DataFrame, packed: DataFrame, n: int, percent: int) -> Data
         last: tuple = (None, None, None)  # rows come in order of a
         for f in (f.iloc[x:x + TEXTS] for f in frames for x in range(0, len(f), TEXTS)):
             keep = []
-            for a, b, ta, tb in zip(f["a"], f["b"], f["ta"], f["tb"], strict=True):
+            for a, b, ta, tb, ha, hb in zip(f["a"], f["b"], f["ta"], f["tb"], f["ha"], f["hb"], strict=True):
                 if last[0] != a:
                     last = (a, unpack(ta), ta)
                 sa, sb = last[1] if last[2] == ta else unpack(ta), unpack(tb)
                 both = len(np.intersect1d(sa, sb, assume_unique=True))
                 keep.append(100 * both >= percent * (len(sa) + len(sb) - both)
-                            and set_class(sa) == a and set_class(sb) == b)
+                            and set_class(sa)[1] == ha and set_class(sb)[1] == hb)
             yield f.loc[np.array(keep, dtype=bool), ["a", "b"]]
 
+    pairs = written(pairs, "pairs")
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    packed = written(_packed_texts(texts, classes, wanted), "pair-texts")
+    rows = pairs
     for side in "ba":
-        pairs = pairs.join(packed.toDF(side, f"t{side}"), side)
-    return pairs.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
+        rows = rows.join(packed.toDF(side, f"h{side}", f"t{side}"), side)
+    links = written(rows.select("a", "b", "ta", "tb", "ha", "hb").mapInPandas(run, "a long, b long").distinct(), "links")
+    dropped(pairs, packed)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -240,17 +262,21 @@ def components(links: DataFrame) -> DataFrame:
     reachable. Labels spread over links and jump to their own label each round."""
     edges = written(links.union(links.select("b", "a")).toDF("u", "v").distinct(), "links")
     labels = written(edges.groupBy("u").agg(F.min("v").alias("m"))
-                     .select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "labels")
+                     .select(F.col("u").alias("node"), F.least("u", "m").alias("label"),
+                             F.least("u", "m").alias("next")), "labels")
     while True:
-        near = (edges.join(labels, edges["v"] == labels["node"]).groupBy("u").agg(F.min("label").alias("near")))
-        step = labels.join(near, labels["node"] == near["u"]).select(
+        at = labels.select("node", F.col("next").alias("label"))
+        near = (edges.join(at, edges["v"] == at["node"]).groupBy("u").agg(F.min("label").alias("near")))
+        step = at.join(near, at["node"] == near["u"]).select(
             "node", "label", F.least("label", "near").alias("next"))
         jump = step.select(F.col("node").alias("at"), F.col("next").alias("far"))
         moved = written(step.join(jump, step["next"] == jump["at"]).select(
             "node", "label", F.least("next", "far").alias("next")), "labels")
-        labels = moved.select("node", F.col("next").alias("label"))
+        dropped(labels)
+        labels = moved
         if moved.where("next <> label").isEmpty():
-            return labels
+            dropped(edges)
+            return moved.select("node", F.col("next").alias("label"))
 
 
 def _cross_pairs(blocks: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -310,42 +336,79 @@ def _reachable(percent: int):
     return F.col("shared") + F.greatest(behind("sa"), behind("sb")) >= need
 
 
+def _tries(blocks: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
+    """(a, b): every class with the pivot of another component it shares most of its blocks with, if the two
+    can link. ``blocks``: key, cls, size, comp; ``pivots``: (key, a)."""
+    side = blocks.select("key", F.col("cls").alias("a"), F.col("size").alias("sa"), F.col("comp").alias("ca"))
+    return (blocks.join(pivots.join(side, ["key", "a"]), "key").where("comp <> ca")
+            .groupBy("a", F.col("cls").alias("b"), "sa", F.col("size").alias("sb"))
+            .agg(F.count(F.lit(1)).alias("shared")).where(_reachable(percent))
+            # One text travels per pair: each class tries its best pivot only.
+            .groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b"))
+
+
+def _first_links(blocks: DataFrame, texts: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links that join most members of large groups of near copies, each class trying one pivot a round. The
+    first pivot of a block is its class with the most company in all its blocks, such as the text the
+    others were copied from; then blocks of ``WIDE`` classes and more, where the pairs left would
+    grow with the square, try others of their largest component, while that joins any."""
+    alone = blocks.withColumn("comp", F.col("cls"))
+    company = blocks.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    score = blocks.join(company, "key").groupBy("cls").agg(F.sum("n").alias("score"))
+    pivots = blocks.join(score, "cls").groupBy("key").agg(F.max_by("cls", F.struct("score", "cls")).alias("a"))
+    links = _verified(_tries(alone, pivots, percent), texts, classes, n, percent)
+    wide = blocks.join(company.where(F.col("n") >= WIDE).select("key"), "key", "left_semi")
+    for turn in range(ROUNDS):
+        now = written(_with_components(wide, components(links)), "wide-blocks")
+        parts = now.groupBy("key", "comp").agg(
+            F.count(F.lit(1)).alias("n"), F.max_by("cls", F.xxhash64(F.lit(turn), "cls")).alias("a"))
+        pivots = parts.groupBy("key").agg(F.max_by("a", F.struct("n", "comp")).alias("a"), F.max("n").alias("most"),
+                                          F.sum("n").alias("all")).where("2 <= most and most < all").select("key", "a")
+        more = _verified(_tries(now, pivots, percent), texts, classes, n, percent)
+        none = more.isEmpty()
+        both = written(links.unionByName(more), "links")
+        dropped(now, more, links)
+        links = both
+        if none:
+            break
+    return links
+
+
+def _with_components(blocks: DataFrame, parts: DataFrame) -> DataFrame:
+    return blocks.join(parts.withColumnRenamed("node", "cls"), "cls", "left").select(
+        "key", "cls", "size", F.coalesce("label", "cls").alias("comp"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        n: int = N, percent: int = PERCENT) -> DataFrame:
     """(id_col, n_shingles, component_id): one row per row of ``docs``."""
     texts = docs.select(F.col(id_col).cast("long").alias("i"), lower_ascii(F.col(text_col)).alias("t"))
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(texts, n))
-    sets = written(_sets(texts, frequent, n, percent), "sets")
-    classes = sets.where("size > 0 and doc is not null").groupBy("cls").agg(F.min("doc").alias("rep"))
+    sets = _named(written(_sets(texts, frequent, n, percent), "sets"))
+    rows = written(sets.select("doc", "size", "cls", "half"), "rows")
+    classes = written(rows.where("size > 0 and doc is not null").groupBy("cls").agg(
+        F.min("doc").alias("rep"), F.first("half").alias("half")), "classes")
     near = Window.partitionBy("key").orderBy("cls")
     entries = (sets.where("keys is not null").select(F.explode("keys").alias("key"), "cls", F.col("size").cast("int"))
                .withColumn("prev", F.lag("cls").over(near)).withColumn("next", F.lead("cls").over(near)))
     blocks = written(entries.where("prev <> cls or next <> cls").select("key", "cls", "size").distinct(), "blocks")
-    pivot = blocks.groupBy("key").agg(F.min("cls").alias("a"))
-    size_a = blocks.select("key", F.col("cls").alias("a"), F.col("size").alias("sa"))
-    star = (blocks.join(pivot.join(size_a, ["key", "a"]), "key").where("cls <> a")
-            .groupBy("a", F.col("cls").alias("b"), "sa", F.col("size").alias("sb"))
-            .agg(F.count(F.lit(1)).alias("shared")).where(_reachable(percent))
-            # One text travels per pair: each class tries its best pivot only.
-            .groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b"))
-    packed = written(_packed_texts(texts, classes, blocks.select("cls").distinct()), "block-texts")
-    links = written(_verified(star, packed, n, percent).distinct(), "first-links")
-    joined = components(links).withColumnRenamed("node", "cls")
-    tagged = blocks.join(joined, "cls", "left").select(
-        "key", "cls", "size", F.coalesce("label", "cls").alias("comp"))
+    points = written(sets.where("points is not null").join(blocks.select("cls").distinct(), "cls", "left_semi")
+                     .select("cls", "points").dropDuplicates(["cls"]), "points")
+    dropped(sets)
+    links = _first_links(blocks, texts, classes, n, percent)
+    tagged = _with_components(blocks, components(links))
     mixed = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     open_blocks = written(tagged.join(mixed.select("key"), "key", "left_semi"), "open-blocks")
-    points = sets.where("size > 0").join(open_blocks.select("cls").distinct(), "cls", "left_semi").select(
-        "cls", "points").dropDuplicates(["cls"])
-    cross = _cross_pairs(open_blocks, points, percent)
-    more = written(_verified(cross, packed, n, percent).distinct(), "more-links")
+    dropped(blocks)
+    more = _verified(_cross_pairs(open_blocks, points, percent), texts, classes, n, percent)
+    dropped(open_blocks, points)
     label = components(links.union(more)).withColumnRenamed("node", "cls")
     named = classes.join(label, "cls", "left").withColumn("part", F.coalesce("label", "cls"))
     least = named.groupBy("part").agg(F.min("rep").alias("least"))
     member = written(named.join(least, "part").select("cls", "least"), "members")
-    placed = sets.where("size > 0 and doc is not null").join(member, "cls").select(
+    placed = rows.where("size > 0 and doc is not null").join(member, "cls").select(
         "doc", "size", F.col("least").alias("component"))
-    alone = sets.where("size = 0 or doc is null").select("doc", "size", F.col("doc").alias("component"))
+    alone = rows.where("size = 0 or doc is null").select("doc", "size", F.col("doc").alias("component"))
     return placed.unionByName(alone).toDF(id_col, "n_shingles", "component_id")
 
 
