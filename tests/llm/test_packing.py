@@ -76,3 +76,18 @@ def test_pieces_and_places(docs_of):
 
 def test_empty_table(docs_of):
     assert pack(cut_pieces(docs_of([]))).count() == 0
+
+
+def test_ranked_words_have_the_tokenizers_ids():
+    """Words that the faster encoder takes, by themselves and in texts."""
+    from textrisk.llm.packing import WordTokenizer
+    tok = WordTokenizer(str(public_tokenizers.path("word_bpe_49k.json")))
+    assert tok.fast is not None
+    rnd = random.Random(3)
+    signs = "etaoinshrdlu" * 4 + "abcdefghijklmnopqrstuvwxyz" + "áéíóúñüäößçàèøþÿµª÷"
+    words = ["".join(rnd.choice(signs) for _ in range(rnd.randint(1, 14))) for _ in range(4000)]
+    want = [e.ids for e in tok.encoder.encode_batch(words, add_special_tokens=False)]
+    assert [x.tolist() for x in tok(words)] == want
+    texts = [" ".join(rnd.choice([w, w.upper(), w.capitalize(), w + ".", f"{w},{w}", f"{w}'s", f"{w}9"]) for w in words[a:a + 50])
+             for a in range(0, 4000, 50)]
+    assert [x.tolist() for x in tok(texts)] == [e.ids for e in tok.encoder.encode_batch(texts, add_special_tokens=False)]

@@ -20,6 +20,7 @@ empty results.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -31,11 +32,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textrisk.llm.common import table, worker_cache, written
+from textrisk.llm.common import byte_level_alphabet, table, tokenizer_file, worker_cache, written
 
 CAPACITY = 4096
 END_ID = 1
-CACHE_WORDS = 250_000  # per Python worker; a full cache is emptied, results do not change
+CACHE_WORDS = 200_000  # per Python worker; a full cache is emptied, results do not change
 TEXTS = 100  # texts tokenised at a time
 TOKENIZER = "word_bpe_49k.json"
 
@@ -51,54 +52,103 @@ class WordTokenizer:
 
     PART = re.compile(r"[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[\d\xb2\xb3\xb9\xbc-\xbe]|(?:[^\w\s]|_)+")
 
+    PLAIN = re.compile("[a-z\u00e0-\u00f6\u00f8-\u00fe]+")
+    TAILS = frozenset(".,;:!?")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.encoder, self.words, self.parts = Tokenizer.from_file(path), {}, {}
-
-    def split(self, word: str) -> list[str]:
-        plain = word.isprintable() and max(word, default="") < "\u0100" and "'" not in word and "<|" not in word
-        return self.PART.findall(word.lower()) if plain else [word]
+        names = self.encoder.get_vocab(with_added_tokens=True)
+        # The last token of a pre-token, and no other, has the end-of-word mark.
+        self.ends = np.zeros(max(names.values()) + 1, dtype=bool)
+        self.ends[[i for n, i in names.items() if n.endswith("</w>")]] = True
+        self.fast = self.ranked(path, names)
+
+    def ranked(self, path: str, names: dict[str, int]):
+        """A faster encoder of lower-case words (a-z, U+00E0 to U+00FE but U+00F7): where the merges make the ids
+        in order, ids are ranks of byte strings. Capitals never occur in such words, so a capital
+        stands for a last letter (its last byte is that of the small one less 32): the mark
+        of the end of a word becomes part of its last byte. None for other files."""
+        with open(path, encoding="utf-8") as f:
+            merges = json.load(f)["model"]["merges"]
+        made = ["".join(m.split(" ") if isinstance(m, str) else m) for m in merges]
+        if [names.get(m) for m in made] != list(range(512, 512 + len(made))):
+            return None
+        alphabet, ranks = byte_level_alphabet(), {}
+        for name, i in names.items():
+            marked = name.endswith("</w>")
+            plain = name.removesuffix("</w>")
+            if i >= 512 + len(made) or not all(c in alphabet for c in plain):
+                continue
+            raw = bytes(alphabet[c] for c in plain)
+            if not marked and not any(0x41 <= x <= 0x5A or 0x80 <= x <= 0x9E for x in raw):
+                ranks[raw] = i
+            elif marked and (0x61 <= raw[-1] <= 0x7A or 0xA0 <= raw[-1] <= 0xBE) and not any(
+                    0x41 <= x <= 0x5A or 0x80 <= x <= 0x9E for x in raw):
+                ranks[raw[:-1] + bytes([raw[-1] - 32])] = i
+        self.space = names.get("\u0120")
+        if self.space is None or any(bytes([x]) not in ranks for x in (*range(0x41, 0x5B), *range(0x80, 0x9F))):
+            return None
+        import tiktoken
+        for x in range(256):  # the library wants every byte; those left do not occur
+            ranks.setdefault(bytes([x]), (1 << 30) + x)
+        return tiktoken.Encoding("words", pat_str=r"\S+| ", mergeable_ranks=ranks, special_tokens={})
+
+    def split(self, word: str) -> tuple[str, ...] | list[str]:
+        if word.isascii() or max(word, default="") < "\u0100":
+            if word.isalpha():
+                return (word.lower(),)
+            if word[-1:] in self.TAILS and word[:-1].isalpha():
+                return word[:-1].lower(), word[-1]
+            if word.isprintable() and "'" not in word and "<|" not in word:
+                return self.PART.findall(word.lower())
+        return (word,)
 
     def learn(self, new: list[str]) -> None:
-        """Encode unseen parts: those of one pre-token in one string, told apart by
-        their number in it, any others each for itself."""
-        single = [p for p in new if self.PART.fullmatch(p) and p.isprintable() and max(p) < "\u0100" and "<|" not in p]
+        """Encode unseen parts: those of one pre-token in one string, cut at its ends of words, any
+        others each for itself."""
+        single = [p for p in new if (p.isascii() or max(p) < "\u0100") and (
+            p.isalpha() or self.PART.fullmatch(p) and p.isprintable() and "<|" not in p)]
+        if self.fast:
+            plain = [p for p in single if self.PLAIN.fullmatch(p)]
+            if plain:
+                ids = np.array(self.fast.encode_ordinary(" ".join([p[:-1] + p[-1].upper() for p in plain])), dtype="<u4")
+                self.cut(plain, ids[ids != self.space])
+            single = [p for p in single if p not in self.parts]
         if single:
-            code = self.encoder.encode(" ".join(single), add_special_tokens=False)
-            ids, at = np.array(code.ids, dtype="<u4"), np.array(code.word_ids)
-            ends = np.searchsorted(at, np.arange(len(single)), side="right")
-            for p, a, b in zip(single, [0, *ends], ends, strict=False):
-                self.parts[p] = ids[a:b].tobytes()
+            self.cut(single, np.array(self.encoder.encode_batch_fast([" ".join(single)], add_special_tokens=False)[0].ids,
+                                      dtype="<u4"))
         rest = [p for p in new if p not in self.parts]
         for p, e in zip(rest, self.encoder.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.parts[p] = np.array(e.ids, dtype="<u4").tobytes()
 
+    def cut(self, single: list[str], ids: np.ndarray) -> None:
+        """Note the ids of each part, if there is one end of word for each."""
+        cut = [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()]
+        if len(cut) == len(single) + 1 and cut[-1] == 4 * len(ids):
+            held = ids.tobytes()
+            self.parts.update(zip(single, [held[a:b] for a, b in zip(cut, cut[1:], strict=False)], strict=True))
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         words, parts = self.words, self.parts
-        if len(words) > CACHE_WORDS:
+        if len(words) > CACHE_WORDS or len(parts) > CACHE_WORDS:
             words.clear()
-        if len(parts) > CACHE_WORDS:
             parts.clear()
-            words.clear()
-        found = {w: self.split(w) for w in set().union(*split) if w not in words}
-        self.learn([p for p in set().union(*found.values()) if p not in parts])
-        for w, ps in found.items():
-            words[w] = b"".join([parts[p] for p in ps])
+        new = list(set().union(*split).difference(words))
+        found = list(map(self.split, new))
+        self.learn(list(set().union(*found).difference(parts)))
+        words.update(zip(new, [parts[f[0]] if len(f) == 1 else b"".join([parts[p] for p in f]) for f in found], strict=True))
         return [np.frombuffer(b"".join(map(words.__getitem__, ws)), dtype="<u4") for ws in split]
 
 
 def tokenizer(path: str) -> WordTokenizer:
     """One tokenizer per worker; ``path`` is a file, or a name that the public
     tokenizers' package resolves on the executor."""
-    cache = worker_cache("tokenizers")
+    cache = worker_cache("best-fit-packing")
     if path not in cache:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if "/" in path:
-            cache[path] = WordTokenizer(path)
-        else:
-            import public_tokenizers
-            cache[path] = WordTokenizer(str(public_tokenizers.path(path)))
+        cache[path] = WordTokenizer(tokenizer_file(path))
     return cache[path]
 
 

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textrisk.llm.common import table, tokenizer_file, worker_cache, written
+from textrisk.llm.common import byte_level_alphabet, table, tokenizer_file, worker_cache, written
 
 BYTE_MODEL = "byte_bpe_50k.json"
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -45,14 +45,6 @@ BATCH = 100  # texts aligned together
 CACHE_UNITS = 120_000  # per Python worker, twice; what stays unseen for long is dropped and encoded anew
 
 
-def byte_level_alphabet() -> dict[str, int]:
-    """Sign -> byte of byte-level tokenizers: visible Latin-1 signs stand for themselves, the
-    other bytes in order for the signs from 256 on."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = [b for b in range(256) if b not in plain]
-    return {**{chr(b): b for b in plain}, **{chr(256 + k): b for k, b in enumerate(rest)}}
-
-
 class Side:
     """One tokenizer: ids of a text that starts with a space, and the bytes of each id."""
 
