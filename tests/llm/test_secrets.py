@@ -86,3 +86,20 @@ def test_windows_slide_over_what_base_spans_and_harmless_segments_leave(docs_of)
     for harmless in ("src/main/resources/templates/example/index", "AbstractSingletonProxyFactoryBean", "EXAMPLE" + RANDOM,
                      "some_LONG-words/with-slashes-2024", "queelleaiierelletion"):
         assert dense(f"a {harmless} b") == [], harmless
+
+
+def test_time_grows_with_the_text(docs_of):
+    """A run of 100,000 characters and 20,000 matches take seconds."""
+    import time
+    rnd = random.Random(6)
+    run = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(100_000))
+    many = " ".join(f"{rnd.getrandbits(64):016x}" for _ in range(20_000))
+    scan_secrets(docs_of([(0, "token=abcdefabcdef " + RANDOM)])).collect()  # compile
+    for text in (run, many):
+        start = time.time()
+        row = scan_secrets(docs_of([(1, text)])).collect()[0]
+        assert time.time() - start < 60
+        if text is many:
+            assert len(row.base_spans) == 20_000
+        else:
+            assert [(s.start, s.end) for s in row.all_spans] == [(0, 100_000)]

@@ -11,7 +11,9 @@ candidate: a span keeps the parts of it that are not known to be harmless.
 
 Positions count code points, ends are exclusive. A match's start is the length of
 the texts between matches and of the matches before it (split and extract of the
-same pattern), so only texts with a match pay for positions.
+same pattern), so only texts with a match pay for positions. What a fold reads at every
+step is bound once before it (``let``), and words are cut from their match, not from
+the text, so that the work grows with the length of a text.
 
 Defined results: null text is empty; no spans give empty strings and zero counts;
 every row is scanned for itself, so repeated rows repeat their results.
@@ -53,18 +55,19 @@ CLASSES = (
 ALLOW = (r"(?i:example|sample|placeholder|x{6,}|0123456789|abcdefgh)|^[0-9_+/-]+$"
          r"|^(?!.*(?<![a-z])[a-z]{1,2}[A-Z])(?:[A-Za-z_/+-]+|[A-Za-z]+[_/-][A-Za-z_/-]*[0-9]{1,4})$")
 SHORT = 4  # a harmless segment under this length does not part its neighbours: keys hold / too
-PIECES = "array<struct<start:int,end:int>>"
+PIECES = "array<struct<start:int,end:int,word:int,origin:int>>"  # of candidate ``word``, which starts at ``origin``
 
 
 def _from(c: Column, i: Column) -> Column:
     return F.get(c, i)
 
 
-def matches(text: Column, pattern: str, kind: str, rank: int, group: int = 0, least: int = 1) -> Column:
-    """Spans of the leftmost non-overlapping matches whose ``group`` has ``least`` characters."""
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    kept = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is evaluated once, however often ``use`` reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
 
+def _spans(gaps: Column, hits: Column, kept: Column, kind: str, rank: int, least: int) -> Column:
     def step(state: Column, i: Column) -> Column:
         start = state["at"] + F.char_length(_from(gaps, i))
         end = start + F.char_length(_from(hits, i))
@@ -74,7 +77,17 @@ def matches(text: Column, pattern: str, kind: str, rank: int, group: int = 0, le
                         .otherwise(state["out"]).cast(SPAN).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    found = F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), start, step)["out"]
+    return F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), start, step)["out"]
+
+
+def matches(text: Column, pattern: str, kind: str, rank: int, group: int = 0, least: int = 1) -> Column:
+    """Spans of the leftmost non-overlapping matches whose ``group`` has ``least`` characters."""
+    def extract(g: int) -> Column:
+        return F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
+
+    found = let(F.split(text, pattern, -1), lambda gaps: let(extract(0), lambda hits: (
+        _spans(gaps, hits, hits, kind, rank, least) if group == 0 else
+        let(extract(group), lambda kept: _spans(gaps, hits, kept, kind, rank, least)))))
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
 
 
@@ -85,75 +98,101 @@ def _term(c: Column) -> Column:
 
 def dense_windows(word: Column, window: int, bits: float) -> Column:
     """struct(lo, hi): start of the first and end of the last window of ``word`` whose
-    entropy reaches ``bits``; nulls if none does. Counts are kept per ASCII code."""
-    codes = F.transform(F.split(word, ""), lambda ch: F.ascii(ch))
-
-    def step(state: Column, i: Column) -> Column:
-        came, gone = _from(codes, i), F.when(i >= window, _from(codes, i - window)).otherwise(-1)
-        counts = F.transform(state["n"], lambda c, k: c + (k == came).cast("int") - (k == gone).cast("int"))
-        more, less = _from(state["n"], came), F.when(gone >= 0, _from(state["n"], gone)).otherwise(0)
-        total = F.when(came == gone, state["s"]).otherwise(
-            state["s"] + _term(more + 1) - _term(more) + F.when(gone >= 0, _term(less - 1) - _term(less)).otherwise(0.0))
-        dense = (i >= window - 1) & (F.lit(window).cast("double") * (F.log2(F.lit(float(window))) - bits) >= total - 1e-9)
-        return F.struct(counts.alias("n"), total.alias("s"),
-                        F.when(dense, F.coalesce(state["lo"], i - window + 1)).otherwise(state["lo"]).alias("lo"),
-                        F.when(dense, i + 1).otherwise(state["hi"]).alias("hi"))
-
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("s"),
-                     F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi"))
-    end = F.aggregate(F.sequence(F.lit(0), F.char_length(word) - 1), start, step)
-    return F.struct(end["lo"].alias("lo"), end["hi"].alias("hi"))
-
-
-def outside(place: Column, base: Column) -> Column:
-    """The pieces of ``place`` that no span of the sorted ``base`` covers."""
-    def piece(start: Column, end: Column) -> Column:
-        return F.array(F.struct(start.cast("int").alias("start"), end.cast("int").alias("end")))
-
-    def step(state: Column, b: Column) -> Column:
-        return F.struct(F.greatest(state["at"], b["end"]).alias("at"),
-                        F.concat(state["out"], piece(state["at"], b["start"])).cast(PIECES).alias("out"))
-
-    cuts = F.filter(base, lambda b: (b["start"] < place["end"]) & (place["start"] < b["end"]))
-    start = F.struct(place["start"].alias("at"), F.array().cast(PIECES).alias("out"))
-    return F.aggregate(cuts, start, step, lambda s: F.concat(s["out"], piece(s["at"], place["end"])))
+    entropy reaches ``bits``; nulls if none does. The sum of c log2 c changes only by the counts
+    of the character that enters and the one that leaves."""
+    enough = F.lit(window).cast("double") * (F.log2(F.lit(float(window))) - bits) + 1e-9
+
+    def slide(codes: Column) -> Column:
+        def held(i: Column, code: Column) -> Column:
+            """How often the window's characters but the entering and the leaving one are ``code``."""
+            # By position: a slice would copy the whole word each time.
+            inner = F.sequence(F.greatest(i - window + 1, F.lit(0)), i - 1)
+            return F.when(i > 0, F.size(F.filter(inner, lambda k: _from(codes, k) == code))).otherwise(0).cast("double")
+
+        def step(state: Column, i: Column) -> Column:
+            came = _from(codes, i)
+            gone = F.when(i >= window, _from(codes, i - window))
+            more, less = held(i, came), held(i, gone)
+            left = F.when(gone.isNull(), F.lit(0.0)).otherwise(_term(less) - _term(less + 1))
+            total = F.when(came == gone, state["s"]).otherwise(state["s"] + left + _term(more + 1) - _term(more))
+            dense = (i >= window - 1) & (total <= enough)
+            return F.struct(total.alias("s"), F.when(dense, F.coalesce(state["lo"], i - window + 1)).otherwise(state["lo"]).alias("lo"),
+                            F.when(dense, i + 1).otherwise(state["hi"]).alias("hi"))
+
+        start = F.struct(F.lit(0.0).alias("s"), F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi"))
+        end = F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), start, step)
+        return F.struct(end["lo"].alias("lo"), end["hi"].alias("hi"))
+
+    return let(F.transform(F.split(word, ""), lambda ch: F.ascii(ch)), slide)
+
+
+def _piece(start: Column, end: Column, of: Column) -> Column:
+    return F.array(F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"),
+                            of["word"].alias("word"), of["origin"].alias("origin")))
+
+
+def outside(places: Column, base: Column) -> Column:
+    """The pieces of ``places`` (disjoint spans of the candidates, in order) that no span of ``base`` covers: one
+    pass over both in order of their starts."""
+    none = F.lit(None).cast("int")
+    events = F.array_sort(F.concat(
+        F.transform(base, lambda b: F.struct(b["start"].alias("start"), F.lit(-1).alias("word"), b["end"].alias("end"))),
+        F.transform(places, lambda p, i: F.struct(p["start"].alias("start"), i.cast("int").alias("word"), p["end"].alias("end")))))
+
+    def step(state: Column, e: Column) -> Column:
+        covers = e["word"] < 0
+        stop = F.when(covers, F.least(e["start"], state["end"])).otherwise(state["end"])
+        out = F.when(state["at"] < stop, F.concat(state["out"], _piece(state["at"], stop, state))).otherwise(state["out"])
+        covered = F.when(covers, F.greatest(state["covered"], e["end"])).otherwise(state["covered"])
+        return F.struct(F.when(covers, F.greatest(state["at"], e["end"])).otherwise(F.greatest(e["start"], covered)).alias("at"),
+                        F.when(covers, state["end"]).otherwise(e["end"]).alias("end"), covered.alias("covered"),
+                        F.when(covers, state["word"]).otherwise(e["word"]).alias("word"),
+                        F.when(covers, state["origin"]).otherwise(e["start"]).alias("origin"), out.cast(PIECES).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("end"), F.lit(0).alias("covered"), none.alias("word"),
+                     none.alias("origin"), F.array().cast(PIECES).alias("out"))
+    return F.aggregate(events, start, step, lambda s: F.when(s["at"] < s["end"], F.concat(
+        s["out"], _piece(s["at"], s["end"], s))).otherwise(s["out"]).cast(PIECES))
 
 
 def open_runs(piece: Column, word: Column, allow: str) -> Column:
     """The runs of path segments of ``word``, a piece's text, that are not harmless; the
     whole piece if nothing in it is."""
-    def run(start: Column, end: Column) -> Column:
-        return F.array(F.struct(start.cast("int").alias("start"), end.cast("int").alias("end")))
-
     def step(state: Column, segment: Column) -> Column:
         end = (state["at"] + F.char_length(segment)).cast("int")
         harmless = segment.rlike(allow) & (F.char_length(segment) >= SHORT)
         return F.struct((end + 1).alias("at"), F.when(harmless, end + 1).otherwise(state["run"]).cast("int").alias("run"),
-                        F.when(harmless, F.concat(state["out"], run(state["run"], state["at"]))).otherwise(state["out"])
-                        .cast(PIECES).alias("out"))
+                        F.when(harmless, F.concat(state["out"], _piece(state["run"], state["at"], piece)))
+                        .otherwise(state["out"]).cast(PIECES).alias("out"))
 
     start = F.struct(piece["start"].alias("at"), piece["start"].alias("run"), F.array().cast(PIECES).alias("out"))
-    runs = F.aggregate(F.split(word, "/", -1), start, step, lambda s: F.concat(s["out"], run(s["run"], piece["end"])))
+    runs = F.aggregate(F.split(word, "/", -1), start, step,
+                       lambda s: F.concat(s["out"], _piece(s["run"], piece["end"], piece)).cast(PIECES))
     return F.when(word.rlike(allow), runs).otherwise(F.array(piece).cast(PIECES))
 
 
 def entropy_spans(text: Column, base: Column, cls: CharClass, rank: int, allow: str = ALLOW) -> Column:
-    def cut(p: Column) -> Column:
-        return F.substring(text, p["start"] + 1, p["end"] - p["start"])
-
-    def long_enough(pieces: Column) -> Column:
-        return F.filter(pieces, lambda p: p["end"] - p["start"] >= cls.window)
-
-    places = matches(text, cls.pattern, cls.kind, rank)
-    pieces = long_enough(F.flatten(F.transform(places, lambda p: outside(p, base))))
-    runs = long_enough(F.flatten(F.transform(pieces, lambda p: open_runs(p, cut(p), allow))))
-
-    def judge(p: Column) -> Column:
-        seen = dense_windows(cut(p), cls.window, cls.bits)
-        return F.struct((p["start"] + seen["lo"]).alias("start"), F.lit(rank).alias("rank"), F.lit(cls.kind).alias("kind"),
-                        (p["start"] + seen["hi"]).alias("end"))
-
-    return F.filter(F.transform(runs, judge), lambda p: p["start"].isNotNull() & ~cut(p).rlike(allow)).cast(SPAN)
+    def inside(hits: Column, places: Column, base: Column) -> Column:
+        def cut(p: Column) -> Column:
+            return F.substring(_from(hits, p["word"]), p["start"] - p["origin"] + 1, p["end"] - p["start"])
+
+        def long_enough(pieces: Column) -> Column:
+            return F.filter(pieces, lambda p: p["end"] - p["start"] >= cls.window)
+
+        def judge(p: Column) -> Column:
+            return let(dense_windows(cut(p), cls.window, cls.bits), lambda seen: F.struct(
+                (p["start"] + seen["lo"]).alias("start"), (p["start"] + seen["hi"]).alias("end"),
+                p["word"].alias("word"), p["origin"].alias("origin")))
+
+        runs = long_enough(F.flatten(F.transform(long_enough(outside(places, base)), lambda p: open_runs(p, cut(p), allow))))
+        dense = F.filter(F.transform(runs, judge), lambda p: p["start"].isNotNull() & ~cut(p).rlike(allow))
+        return F.transform(dense, lambda p: F.struct(p["start"].alias("start"), F.lit(rank).alias("rank"),
+                                                     F.lit(cls.kind).alias("kind"), p["end"].alias("end"))).cast(SPAN)
+
+    found = let(F.regexp_extract_all(text, F.lit(cls.pattern), F.lit(0)), lambda hits: let(
+        F.split(text, cls.pattern, -1), lambda gaps: let(
+            _spans(gaps, hits, hits, cls.kind, rank, 1), lambda places: let(base, lambda b: inside(hits, places, b)))))
+    return F.when(text.rlike(cls.pattern), found).otherwise(F.array().cast(SPAN))
 
 
 def listed(spans: Column) -> Column:
