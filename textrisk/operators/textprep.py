@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textrisk.functions import text as T
+from textrisk.functions.lemma import lemma
 from textrisk.lexicons import lemma_pairs, topic_stopwords
 from textrisk.operators.screen import dedup_first
 
@@ -35,27 +36,14 @@ def stopword_table(spark: SparkSession, words: Sequence[str] | None = None) -> D
     return spark.createDataFrame([(w,) for w in ws], "word string")
 
 
-def _lemma_map(pairs: Sequence[tuple[str, str]]) -> Column:
-    flat = []
-    for form, lemma in pairs:
-        flat += [F.lit(form), F.lit(lemma)]
-    return F.create_map(*flat)
-
-
 def lemma_tokens(cleaned: Column, pairs: Sequence[tuple[str, str]] | None = None,
                  stopwords: Sequence[str] | None = None) -> Column:
-    """tokens -> dictionary lemma (identity when absent) -> lower/strip ->
+    """tokens -> lemma (irregular forms ``pairs``, else suffix rules) -> lower/strip ->
     keep alphabetic lemmas that are not stop words. Token order kept."""
     pairs = lemma_pairs() if pairs is None else pairs
     stop = list(topic_stopwords() if stopwords is None else stopwords)
     toks = F.filter(F.split(cleaned, " "), lambda t: t != "")
-    if pairs:
-        # Hash-set test first (InSet); only dictionary forms pay for the
-        # map lookup, every other token passes through unchanged.
-        lm = _lemma_map(pairs)
-        forms = [f for f, _ in pairs]
-        toks = F.transform(toks, lambda t: F.when(t.isin(forms), F.lower(F.trim(F.try_element_at(lm, t))))
-                           .otherwise(F.lower(F.trim(t))))
+    toks = F.transform(toks, lambda t: F.lower(F.trim(lemma(t, pairs))))
     return F.filter(toks, lambda t: (t != "") & t.rlike(r"^\p{L}+$") & ~t.isin(stop))
 
 

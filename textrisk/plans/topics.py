@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textrisk.functions.lemma import lemma_sql
 from textrisk.lexicons import lemma_pairs, topic_stopwords
 from textrisk.operators import coherence as CO
 from textrisk.operators import sweeps as SW
@@ -82,20 +83,12 @@ def _stop_sql():
     return Q.str_list(topic_stopwords())
 
 
-def _lemma_case(t):
-    pairs = lemma_pairs()
-    if not pairs:
-        return t
-    whens = " ".join(f"WHEN {Q.lit(a)} THEN {Q.lit(b)}" for a, b in pairs)
-    return f"(CASE {t} {whens} ELSE {t} END)"
-
-
 _TOPIC_SQL_EXPR = "CASE WHEN source = 'src0' THEN -1 ELSE TRY_CAST(substr(source, 4) AS INTEGER) END"
 
 
 def _prep_sql():
     stop = _stop_sql()
-    lem = _lemma_case("t")
+    lem = lemma_sql("t", lemma_pairs())
     return f"""
 p0 AS (SELECT doc_id, {_TOPIC_SQL_EXPR} AS topic, {Q.clean_for_topics('text')} AS cleaned FROM documents),
 p1 AS (SELECT * FROM p0 QUALIFY row_number() OVER (PARTITION BY cleaned ORDER BY doc_id) = 1),
