@@ -15,7 +15,7 @@ from collections.abc import Callable, Sequence
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textrisk.functions import text as T
@@ -56,6 +56,28 @@ def tfidf_vocabulary(train: DataFrame, id_col: str, terms_col: str = "terms",
         (F.log((1.0 + F.col("_n")) / (1.0 + F.col("n_docs"))) + 1.0).alias("idf"))
 
 
+def fold_vocabularies(df: DataFrame, k: int, terms_col: str = "terms", fold_col: str = "fold",
+                      max_features: int = 5000) -> DataFrame:
+    """E2 fits of all folds in one pass: (fold, term, n_docs, n_total, idf), the vocabulary of the rows outside
+    each fold. Terms are counted once per (fold, term); what a fold trains on is the total less its
+    own. Every fold keeps its ``max_features`` commonest terms (a running top list per task)."""
+    cube = term_dictionary(df, terms_col, [fold_col])
+    cell = F.struct(F.col("n_docs").alias("d"), F.col("n_total").alias("c"))
+    total = cube.groupBy("term").agg(F.sum("n_docs").alias("_d"), F.sum("n_total").alias("_c"),
+                                     F.map_from_entries(F.collect_list(F.struct(F.col(fold_col), cell))).alias("_own"))
+    each = total.select("term", "_d", "_c", "_own", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold"))
+    own = F.try_element_at("_own", F.col("fold"))
+    rest = each.select("fold", "term", (F.col("_d") - F.coalesce(own["d"], F.lit(0))).alias("n_docs"),
+                       (F.col("_c") - F.coalesce(own["c"], F.lit(0))).alias("n_total")).where("n_docs > 0")
+    best = Window.partitionBy("fold").orderBy(F.col("n_total").desc(), "term")
+    kept = rest.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= max_features).drop("_r")
+    rows = df.groupBy(F.col(fold_col).alias("_f")).agg(F.count(F.lit(1)).alias("_n"))
+    folds = df.sparkSession.range(k).select(F.col("id").cast("int").alias("fold"))
+    n = folds.join(rows, F.col("fold") != F.col("_f"), "left").groupBy("fold").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_n"))
+    return kept.join(F.broadcast(n), "fold").select(  # k rows
+        "fold", "term", "n_docs", "n_total", (F.log((1.0 + F.col("_n")) / (1.0 + F.col("n_docs"))) + 1.0).alias("idf"))
+
+
 class TfidfFeatures:
     """E2 model: vocabulary (sorted, as column order) and idf weights.
 
@@ -118,9 +140,13 @@ def out_of_fold(df: DataFrame, id_col: str, label_col: str, text_col: str, k: in
     base = materialize(with_terms(stratified_folds(labelled, id_col, label_col, k, seed), text_col)
                        .drop(text_col).withColumn("label", F.col(label_col).cast("double")))
 
+    # At most k * max_features rows.
+    vocabularies = fold_vocabularies(base, k, "terms", "fold", max_features).orderBy("fold", "term").collect()
+
     def fit_fold(i: int) -> list[DataFrame]:
         train, test = base.where(F.col("fold") != i), base.where(F.col("fold") == i)
-        feats = TfidfFeatures.fit(train, id_col, "terms", max_features)
+        own = [r for r in vocabularies if r["fold"] == i]
+        feats = TfidfFeatures([r["term"] for r in own], [float(r["idf"]) for r in own])
         tr = feats.transform(train).select(id_col, "label", "features")
         tr = (tr.repartition(train_partitions) if train_partitions else tr).cache()
         te = feats.transform(test).select(id_col, "fold", F.col(label_col).alias("gold"), "features")

@@ -91,11 +91,11 @@ def term_counts(df: DataFrame, key_cols: Sequence[str], terms_col: str = "terms"
             .groupBy(*key_cols, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def term_dictionary(df: DataFrame, terms_col: str = "terms") -> DataFrame:
-    """per term the number of documents and the total count, in one aggregation by
+def term_dictionary(df: DataFrame, terms_col: str = "terms", by: Sequence[str] = ()) -> DataFrame:
+    """per term (and value of the ``by`` columns) the number of documents and the total count, in one aggregation by
     term: every occurrence counts once in all, the first one in a document also as a
     document (sums combine map-side; no shuffle by document)."""
     first = F.transform(F.array_distinct(terms_col), lambda t: F.struct(t.alias("term"), F.lit(1).alias("d"), F.lit(0).alias("c")))
     every = F.transform(terms_col, lambda t: F.struct(t.alias("term"), F.lit(0).alias("d"), F.lit(1).alias("c")))
-    return (df.select(F.explode(F.concat(first, every)).alias("_x")).select("_x.*")
-            .groupBy("term").agg(F.sum("d").cast("long").alias("n_docs"), F.sum("c").cast("long").alias("n_total")))
+    return (df.select(*by, F.explode(F.concat(first, every)).alias("_x")).select(*by, "_x.*")
+            .groupBy(*by, "term").agg(F.sum("d").cast("long").alias("n_docs"), F.sum("c").cast("long").alias("n_total")))

@@ -60,6 +60,24 @@ def tfidf_train_fold(spark, sf):
     return vocab.select("term", "n_docs", "n_total", F.round("idf", 6).alias("idf"))
 
 
+@query("tfidf_all_folds", "E2, E4 (all folds in one pass)", f"""
+WITH ld AS (SELECT l.doc_id, l.toxic, d.text FROM labels l JOIN documents d USING (doc_id) WHERE l.toxic IS NOT NULL),
+f AS (SELECT *, {_FOLD_SQL} AS own FROM ld),
+tk AS (SELECT doc_id, own, {Q.analyzer_tokens("coalesce(text, '')")} AS t FROM f),
+terms AS (SELECT doc_id, own, list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS terms FROM tk),
+dt AS (SELECT doc_id, own, term, count(*) AS tf FROM (SELECT doc_id, own, unnest(terms) AS term FROM terms) GROUP BY ALL),
+k AS (SELECT unnest(range({K_FOLDS})) AS fold),
+dic AS (SELECT fold, term, count(*) AS n_docs, CAST(sum(tf) AS BIGINT) AS n_total FROM dt, k WHERE own <> fold GROUP BY ALL),
+n AS (SELECT fold, count(*) AS n FROM f, k WHERE own <> fold GROUP BY fold)
+SELECT CAST(fold AS INTEGER) AS fold, term, n_docs, n_total, round(ln((1 + n) / (1 + n_docs)) + 1, 6) AS idf
+FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY n_total DESC, term) AS r FROM dic) JOIN n USING (fold)
+WHERE r <= {MAX_FEATURES}""")
+def tfidf_all_folds(spark, sf):
+    """The training vocabulary of every fold, from one count of all terms."""
+    folds = materialize(B.with_terms(B.stratified_folds(labelled_docs(spark, sf), "doc_id", "toxic", K_FOLDS, SEED), "text"))
+    return B.fold_vocabularies(folds, K_FOLDS, max_features=MAX_FEATURES).withColumn("idf", F.round("idf", 6))
+
+
 @query("oof_logreg", "E3, E4, H2")
 def oof_logreg(spark, sf):
     oof = B.out_of_fold(labelled_docs(spark, sf), "doc_id", "toxic", "text", K_FOLDS, SEED, ["TF-IDF + LR"],
