@@ -132,8 +132,9 @@ def test_pairs_of_a_group_of_copies_grow_in_proportion(docs_of, as_rows, monkeyp
     tried, whole = [], jaccard_join._verified
 
     def counting(pairs, *rest):
-        tried.append(pairs.count())
-        return whole(pairs, *rest)
+        found = whole(pairs, *rest)
+        tried.append(found._tried)
+        return found
 
     monkeypatch.setattr(jaccard_join, "_verified", counting)
     sums = []
@@ -143,3 +144,17 @@ def test_pairs_of_a_group_of_copies_grow_in_proportion(docs_of, as_rows, monkeyp
         assert {r[2] for r in as_rows(jaccard_components(docs_of(rows)))} == {0}
         sums.append(sum(tried))
     assert sums[1] <= 6 * sums[0]
+
+
+def test_signatures_bound_the_overlap(monkeypatch):
+    rnd = np.random.default_rng(2)
+    for size in (0, 1, 300, 5000):
+        a = np.unique(rnd.integers(0, 2 ** 64, size=size, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: len(a) * 4 // 5], rnd.integers(0, 2 ** 64, size=size // 5, dtype=np.uint64)]))
+        true = len(np.intersect1d(a, b))
+        for short in (100, 4096, len(b) - 1, 10 ** 6):  # also signatures of two widths
+            monkeypatch.setattr(jaccard_join, "SHORT_SET", short)
+            got = jaccard_join.overlap_bound(jaccard_join.signature(a), jaccard_join.signature(b), len(a), len(b))
+            assert true <= got <= true + max(3, size)
+    twice = np.array([7 << 48, (7 << 48) + 1, (7 << 48) + 2], dtype=np.uint64)
+    assert jaccard_join.overlap_bound(jaccard_join.signature(twice), jaccard_join.signature(twice[:2]), 3, 2) == 2

@@ -43,16 +43,18 @@ from textrisk.llm.common import dropped, lower_ascii, table, worker_cache, writt
 
 N = 5
 PERCENT = 75
-GROUPS = 64
+GROUPS = 256
 LEAF = 16
 LEAF_BLOCK = 2048
-QUERIES = 4096  # queries that go down a forest together
-PAIRS = 100_000  # bounds computed at a time
+QUERIES = 1024  # queries that go down a forest together
+PAIRS = 20_000  # bounds computed at a time
 TEXTS = 200  # texts handled at a time in a task
 SAMPLE_DOCS = 10_000
 FREQUENT = 3  # documents of the sample
 WIDE = 32  # classes of a block that gets further rounds of first links
 ROUNDS = 8
+ALIKE = 60  # percent of the first hashes that a class and the pivot it tries share
+SHORT_SET = 4096  # sets up to this size have 16-bit signatures, longer ones 32-bit
 MIX = np.uint64(0x9E3779B97F4A7C15)
 CACHE_WORDS = 150_000
 
@@ -91,7 +93,30 @@ def prefix_length(size: int, percent: int = PERCENT) -> int:
 
 
 def point(hashes: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    return np.bincount((hashes >> np.uint64(32)) % np.uint64(groups), minlength=groups).astype(np.uint32)
+    """Counts per group; a set too large for 16 bits has them all at the most, which bounds nothing."""
+    counts = np.bincount((hashes >> np.uint64(32)) % np.uint64(groups), minlength=groups)
+    return (counts if counts.max() < 65536 else np.full(groups, 65535)).astype(np.uint16)
+
+
+def signature(hashes: np.ndarray) -> bytes:
+    """The sorted upper bits of all hashes, equal ones repeated."""
+    return (hashes >> np.uint64(48)).astype("<u2").tobytes() if len(hashes) <= SHORT_SET else (
+        hashes >> np.uint64(32)).astype("<u4").tobytes()
+
+
+def _numbered(bits: np.ndarray) -> np.ndarray:
+    """Distinct values: each with the number of equal ones before it."""
+    at = np.arange(len(bits))
+    first = np.maximum.accumulate(np.where(np.r_[True, bits[1:] != bits[:-1]], at, 0))
+    return bits.astype(np.int64) << 32 | at - first
+
+
+def overlap_bound(a: bytes, b: bytes, size_a: int, size_b: int) -> int:
+    """At least the overlap of the two sets: equal hashes have equal upper bits."""
+    x, y = (np.frombuffer(z, dtype="<u2" if n <= SHORT_SET else "<u4") for z, n in ((a, size_a), (b, size_b)))
+    if x.dtype != y.dtype:
+        x, y = (v if v.dtype.itemsize == 2 else v >> np.uint32(16) for v in (x, y))
+    return len(np.intersect1d(_numbered(x), _numbered(y), assume_unique=True))
 
 
 class CountForest:
@@ -134,7 +159,7 @@ class CountForest:
             fits = (100 * high[at] >= self.percent * size) & (self.percent * low[at] <= 100 * size)
             q, at, size = q[fits], at[fits], size[fits]
             need = needed(np.maximum(low[at], -(-self.percent * size // 100)), size, self.percent)
-            keep = np.concatenate([np.minimum(corner[at[i:i + PAIRS]], points[q[i:i + PAIRS]]).sum(axis=1)
+            keep = np.concatenate([np.minimum(corner[at[i:i + PAIRS]], points[q[i:i + PAIRS]]).sum(axis=1, dtype=np.int64)
                                    for i in range(0, len(q), PAIRS)] or [np.empty(0)]) >= need
             q, at = q[keep], at[keep]
             if first is not None:
@@ -172,7 +197,7 @@ def _sets(texts: DataFrame, frequent, n: int, percent: int) -> DataFrame:
                         is_late = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
                         keys = np.concatenate([s[~is_late], s[is_late]])
                     keys = keys[:prefix_length(len(s), percent)].astype(np.int64)
-                    points = point(s).astype("<u4").tobytes()
+                    points = point(s).astype("<u2").tobytes()
                 rows.append((len(s), *cls, points, keys))
             out = pd.DataFrame(rows, columns=["size", "cls", "half", "points", "keys"])
             out.insert(0, "doc", pd.array(f["i"], dtype="Int64"))
@@ -228,8 +253,40 @@ def _packed_texts(texts: DataFrame, classes: DataFrame, wanted: DataFrame) -> Da
         run, "i long, cls long, half long, packed binary").drop("i")
 
 
+def _possible(pairs: DataFrame, texts: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose signatures do not rule a link out, written; each class is cut into
+    shingles once."""
+    def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in (f.iloc[x:x + TEXTS] for f in frames for x in range(0, len(f), TEXTS)):
+            rows = []
+            for t, cls, half in zip(f["t"], f["cls"], f["half"], strict=True):
+                s = shingles(t, n)
+                if set_class(s)[1] == half:  # else a row that repeats the doc_id with another text
+                    rows.append((cls, len(s), signature(s)))
+            yield pd.DataFrame(rows, columns=["cls", "size", "bits"])
+
+    def bound(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            keep = [100 * o >= percent * (na + nb - o) for o, na, nb in (
+                (overlap_bound(x, y, na, nb), na, nb)
+                for x, y, na, nb in zip(f["xa"], f["xb"], f["na"], f["nb"], strict=True))]
+            yield f.loc[np.array(keep, dtype=bool), ["a", "b"]]
+
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    reps = classes.join(wanted, "cls", "left_semi").select("cls", "half", F.col("rep").alias("i"))
+    signed = written(texts.join(reps, "i").select("t", "cls", "half").mapInPandas(
+        sign, "cls long, size long, bits binary").dropDuplicates(["cls"]), "signatures")
+    rows = pairs
+    for side in "ba":
+        rows = rows.join(signed.toDF(side, f"n{side}", f"x{side}"), side)
+    out = written(rows.select("a", "b", "na", "nb", "xa", "xb").mapInPandas(bound, "a long, b long"), "possible")
+    dropped(signed)
+    return out
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets link, written. Only texts of classes in a pair move."""
+    """The pairs (a, b) of classes whose whole sets link, written. Only signatures of classes in a pair
+    move, and whole texts of those that may still link."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def unpack(z: bytes) -> np.ndarray:
             return shingles(zlib.decompress(z).decode("utf-8", "surrogatepass"), n)
@@ -247,13 +304,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, n: int, pe
             yield f.loc[np.array(keep, dtype=bool), ["a", "b"]]
 
     pairs = written(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    possible = _possible(pairs, texts, classes, n, percent)
+    wanted = possible.select(F.col("a").alias("cls")).union(possible.select("b")).distinct()
     packed = written(_packed_texts(texts, classes, wanted), "pair-texts")
-    rows = pairs
+    rows = possible
     for side in "ba":
         rows = rows.join(packed.toDF(side, f"h{side}", f"t{side}"), side)
     links = written(rows.select("a", "b", "ta", "tb", "ha", "hb").mapInPandas(run, "a long, b long").distinct(), "links")
-    dropped(pairs, packed)
+    links._tried = pairs.count()
+    dropped(pairs, possible, packed)
     return links
 
 
@@ -295,7 +354,7 @@ def _cross_pairs(blocks: DataFrame, points: DataFrame, percent: int) -> DataFram
     dealt = rows.join(sides, ["key", "run"]).join(points, "cls")
 
     def search(f: pd.DataFrame) -> pd.DataFrame:
-        pts = np.frombuffer(b"".join(f["points"]), dtype="<u4").reshape(len(f), -1)
+        pts = np.frombuffer(b"".join(f["points"]), dtype="<u2").reshape(len(f), -1)
         sizes, comp, cls, run = (f[c].to_numpy() for c in ("size", "comp", "cls", "run"))
         tile = f.groupby(["key", "r1", "r2"], sort=False).ngroup().to_numpy()
         index, query = np.flatnonzero(run == f["r2"].to_numpy()), np.flatnonzero(run == f["r1"].to_numpy())
@@ -343,7 +402,9 @@ def _tries(blocks: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
     return (blocks.join(pivots.join(side, ["key", "a"]), "key").where("comp <> ca")
             .groupBy("a", F.col("cls").alias("b"), "sa", F.col("size").alias("sb"))
             .agg(F.count(F.lit(1)).alias("shared")).where(_reachable(percent))
-            # One text travels per pair: each class tries its best pivot only.
+            # Links share nearly all first hashes; what shares fewer is left to the search.
+            .where(100 * F.col("shared") >= ALIKE * (F.least("sa", "sb") * (100 - percent) / 100))
+            # Each class tries its best pivot only.
             .groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b"))
 
 
@@ -351,7 +412,7 @@ def _first_links(blocks: DataFrame, texts: DataFrame, classes: DataFrame, n: int
     """Links that join most members of large groups of near copies, each class trying one pivot a round. The
     first pivot of a block is its class with the most company in all its blocks, such as the text the
     others were copied from; then blocks of ``WIDE`` classes and more, where the pairs left would
-    grow with the square, try others of their largest component, while that joins any."""
+    grow with the square, try others of their largest component, while a tenth of the tries link."""
     alone = blocks.withColumn("comp", F.col("cls"))
     company = blocks.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     score = blocks.join(company, "key").groupBy("cls").agg(F.sum("n").alias("score"))
@@ -365,11 +426,12 @@ def _first_links(blocks: DataFrame, texts: DataFrame, classes: DataFrame, n: int
         pivots = parts.groupBy("key").agg(F.max_by("a", F.struct("n", "comp")).alias("a"), F.max("n").alias("most"),
                                           F.sum("n").alias("all")).where("2 <= most and most < all").select("key", "a")
         more = _verified(_tries(now, pivots, percent), texts, classes, n, percent)
-        none = more.isEmpty()
+        tried = more._tried
+        few = more.count() * 10 < tried
         both = written(links.unionByName(more), "links")
         dropped(now, more, links)
         links = both
-        if none:
+        if few or not tried:
             break
     return links
 
