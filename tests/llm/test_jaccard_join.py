@@ -88,6 +88,16 @@ def test_forest_search_is_the_bound():
     assert len(none[0]) == 0
 
 
+def test_sets_too_large_for_a_point_pass():
+    rnd = np.random.default_rng(6)
+    sets = [np.unique(rnd.integers(0, 2 ** 64, size=s, dtype=np.uint64)) for s in (5000, 5000, 6000, 300)]
+    points, sizes, blocks = np.stack([point(s) for s in sets]), np.array([len(s) for s in sets]), np.zeros(4, dtype=int)
+    q, at = CountForest(points, sizes, blocks).search(points, sizes, blocks)
+    assert {(0, 1), (0, 2), (2, 1), (3, 3)} <= set(zip(q.tolist(), at.tolist(), strict=True))
+    rows = jaccard_join._unpacked([jaccard_join._packed(p) for p in points])
+    assert sorted(rows[3]) == sorted(points[3]) and (np.minimum(rows[0], rows[3]).sum() == len(sets[3]))
+
+
 def test_linked_sets_share_a_first_hash():
     rnd = random.Random(4)
     for _ in range(200):

@@ -44,6 +44,7 @@ from textrisk.llm.common import dropped, lower_ascii, table, worker_cache, writt
 N = 5
 PERCENT = 75
 GROUPS = 256
+MOST = 15
 LEAF = 16
 LEAF_BLOCK = 2048
 QUERIES = 1024  # queries that go down a forest together
@@ -93,9 +94,18 @@ def prefix_length(size: int, percent: int = PERCENT) -> int:
 
 
 def point(hashes: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    """Counts per group; a set too large for 16 bits has them all at the most, which bounds nothing."""
+    """Counts per group of 4 bits; a set with a larger one has them all at the most, which bounds nothing."""
     counts = np.bincount((hashes >> np.uint64(32)) % np.uint64(groups), minlength=groups)
-    return (counts if counts.max() < 65536 else np.full(groups, 65535)).astype(np.uint16)
+    return (counts if counts.max() <= MOST else np.full(groups, MOST)).astype(np.uint8)
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    return (counts[0::2] | counts[1::2] << 4).tobytes()
+
+
+def _unpacked(points: pd.Series) -> np.ndarray:
+    pairs = np.frombuffer(b"".join(points), dtype=np.uint8).reshape(len(points), -1)
+    return np.concatenate([pairs & 15, pairs >> 4], axis=1)
 
 
 def signature(hashes: np.ndarray) -> bytes:
@@ -159,6 +169,7 @@ class CountForest:
             fits = (100 * high[at] >= self.percent * size) & (self.percent * low[at] <= 100 * size)
             q, at, size = q[fits], at[fits], size[fits]
             need = needed(np.maximum(low[at], -(-self.percent * size // 100)), size, self.percent)
+            need = np.minimum(need, MOST * corner.shape[1])  # sets too large for a point pass
             keep = np.concatenate([np.minimum(corner[at[i:i + PAIRS]], points[q[i:i + PAIRS]]).sum(axis=1, dtype=np.int64)
                                    for i in range(0, len(q), PAIRS)] or [np.empty(0)]) >= need
             q, at = q[keep], at[keep]
@@ -197,7 +208,7 @@ def _sets(texts: DataFrame, frequent, n: int, percent: int) -> DataFrame:
                         is_late = late[np.minimum(np.searchsorted(late, s), len(late) - 1)] == s
                         keys = np.concatenate([s[~is_late], s[is_late]])
                     keys = keys[:prefix_length(len(s), percent)].astype(np.int64)
-                    points = point(s).astype("<u2").tobytes()
+                    points = _packed(point(s))
                 rows.append((len(s), *cls, points, keys))
             out = pd.DataFrame(rows, columns=["size", "cls", "half", "points", "keys"])
             out.insert(0, "doc", pd.array(f["i"], dtype="Int64"))
@@ -354,7 +365,7 @@ def _cross_pairs(blocks: DataFrame, points: DataFrame, percent: int) -> DataFram
     dealt = rows.join(sides, ["key", "run"]).join(points, "cls")
 
     def search(f: pd.DataFrame) -> pd.DataFrame:
-        pts = np.frombuffer(b"".join(f["points"]), dtype="<u2").reshape(len(f), -1)
+        pts = _unpacked(f["points"])
         sizes, comp, cls, run = (f[c].to_numpy() for c in ("size", "comp", "cls", "run"))
         tile = f.groupby(["key", "r1", "r2"], sort=False).ngroup().to_numpy()
         index, query = np.flatnonzero(run == f["r2"].to_numpy()), np.flatnonzero(run == f["r1"].to_numpy())
