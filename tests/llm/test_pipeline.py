@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_operator_has_one_query():
     names = __spark_entry__.queries()
-    assert all(sum(q.startswith(f"op{n}_") for q in names) == 1 for n in range(1, 11)) and "pipeline" in names
+    assert all(sum(q.startswith(f"op{n}_") for q in names) == 1 for n in range(1, 14)) and "pipeline" in names
     assert set(QUERIES) <= set(names) and set(__spark_entry__.oracle_sql()) <= set(names)
 
 
