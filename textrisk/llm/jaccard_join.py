@@ -251,17 +251,22 @@ def _frequent(texts: DataFrame, n: int) -> np.ndarray:
     return np.sort(found["h"].to_numpy(dtype=np.int64).astype(np.uint64))
 
 
-def _packed_texts(texts: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cls, half, size, packed): the compressed text of each wanted class's smallest document; a row
+def _representatives(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(cls, half, i): the classes of the pairs and their smallest documents, written: its size is known when
+    the texts are joined, so that few of them do not make all texts move."""
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    return written(classes.join(wanted, "cls", "left_semi").select("cls", "half", F.col("rep").alias("i")), "wanted")
+
+
+def _packed_texts(texts: DataFrame, reps: DataFrame) -> DataFrame:
+    """(cls, half, packed): the compressed text of each wanted class's smallest document; a row
     that repeats that doc_id with another text comes along and is told apart later."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in (f.iloc[a:a + TEXTS] for f in frames for a in range(0, len(f), TEXTS)):
-            yield pd.DataFrame({"i": f["i"], "cls": f["cls"], "half": f["half"], "packed": [
+            yield pd.DataFrame({"cls": f["cls"], "half": f["half"], "packed": [
                 zlib.compress(t.encode("utf-8", "surrogatepass"), 3) for t in f["t"]]})
 
-    reps = classes.join(wanted, "cls", "left_semi").select("cls", "half", F.col("rep").alias("i"))
-    return texts.join(reps, "i").select("i", "t", "cls", "half").mapInPandas(
-        run, "i long, cls long, half long, packed binary").drop("i")
+    return texts.join(reps, "i").select("t", "cls", "half").mapInPandas(run, "cls long, half long, packed binary")
 
 
 def _possible(pairs: DataFrame, texts: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
@@ -283,15 +288,14 @@ def _possible(pairs: DataFrame, texts: DataFrame, classes: DataFrame, n: int, pe
                 for x, y, na, nb in zip(f["xa"], f["xb"], f["na"], f["nb"], strict=True))]
             yield f.loc[np.array(keep, dtype=bool), ["a", "b"]]
 
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    reps = classes.join(wanted, "cls", "left_semi").select("cls", "half", F.col("rep").alias("i"))
+    reps = _representatives(classes, pairs)
     signed = written(texts.join(reps, "i").select("t", "cls", "half").mapInPandas(
         sign, "cls long, size long, bits binary").dropDuplicates(["cls"]), "signatures")
     rows = pairs
     for side in "ba":
         rows = rows.join(signed.toDF(side, f"n{side}", f"x{side}"), side)
     out = written(rows.select("a", "b", "na", "nb", "xa", "xb").mapInPandas(bound, "a long, b long"), "possible")
-    dropped(signed)
+    dropped(signed, reps)
     return out
 
 
@@ -316,14 +320,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, n: int, pe
 
     pairs = written(pairs, "pairs")
     possible = _possible(pairs, texts, classes, n, percent)
-    wanted = possible.select(F.col("a").alias("cls")).union(possible.select("b")).distinct()
-    packed = written(_packed_texts(texts, classes, wanted), "pair-texts")
+    reps = _representatives(classes, possible)
+    packed = written(_packed_texts(texts, reps), "pair-texts")
     rows = possible
     for side in "ba":
         rows = rows.join(packed.toDF(side, f"h{side}", f"t{side}"), side)
     links = written(rows.select("a", "b", "ta", "tb", "ha", "hb").mapInPandas(run, "a long, b long").distinct(), "links")
     links._tried = pairs.count()
-    dropped(pairs, possible, packed)
+    dropped(pairs, possible, packed, reps)
     return links
 
 
