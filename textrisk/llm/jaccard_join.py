@@ -50,6 +50,7 @@ LEAF_BLOCK = 2048
 QUERIES = 1024  # queries that go down a forest together
 PAIRS = 20_000  # bounds computed at a time
 TEXTS = 200  # texts handled at a time in a task
+FEW = 500_000  # classes whose texts are picked out by a broadcast
 SAMPLE_DOCS = 10_000
 FREQUENT = 3  # documents of the sample
 WIDE = 32  # classes of a block that gets further rounds of first links
@@ -252,12 +253,18 @@ def _frequent(texts: DataFrame, n: int) -> np.ndarray:
 
 
 def _representatives(classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(cls, half, i): the classes of the pairs and their smallest documents, written: its size is known when
-    the texts are joined, so that few of them do not make all texts move."""
+    """(cls, half, i): the classes of the pairs and their smallest documents, written."""
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     return written(classes.join(wanted, "cls", "left_semi").select("cls", "half", F.col("rep").alias("i")), "wanted")
 
 
+def _texts_of(texts: DataFrame, reps: DataFrame) -> DataFrame:
+    """(t, cls, half): the texts of the representatives. Up to ``FEW`` of them (24 bytes each) are broadcast, so
+    that no other text moves; more are joined by a shuffle."""
+    few = F.broadcast(reps) if reps.count() <= FEW else reps
+    return texts.join(few, "i").select("t", "cls", "half")
+
+
 def _packed_texts(texts: DataFrame, reps: DataFrame) -> DataFrame:
     """(cls, half, packed): the compressed text of each wanted class's smallest document; a row
     that repeats that doc_id with another text comes along and is told apart later."""
@@ -266,7 +273,7 @@ def _packed_texts(texts: DataFrame, reps: DataFrame) -> DataFrame:
             yield pd.DataFrame({"cls": f["cls"], "half": f["half"], "packed": [
                 zlib.compress(t.encode("utf-8", "surrogatepass"), 3) for t in f["t"]]})
 
-    return texts.join(reps, "i").select("t", "cls", "half").mapInPandas(run, "cls long, half long, packed binary")
+    return _texts_of(texts, reps).mapInPandas(run, "cls long, half long, packed binary")
 
 
 def _possible(pairs: DataFrame, texts: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
@@ -289,7 +296,7 @@ def _possible(pairs: DataFrame, texts: DataFrame, classes: DataFrame, n: int, pe
             yield f.loc[np.array(keep, dtype=bool), ["a", "b"]]
 
     reps = _representatives(classes, pairs)
-    signed = written(texts.join(reps, "i").select("t", "cls", "half").mapInPandas(
+    signed = written(_texts_of(texts, reps).mapInPandas(
         sign, "cls long, size long, bits binary").dropDuplicates(["cls"]), "signatures")
     rows = pairs
     for side in "ba":
