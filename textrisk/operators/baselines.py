@@ -15,13 +15,13 @@ from collections.abc import Callable, Sequence
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textrisk.functions import text as T
 from textrisk.functions.ranking import rank_within
 from textrisk.operators.textprep import bigrams, term_dictionary
-from textrisk.session import materialize
+from textrisk.session import materialize, parts_of
 
 
 def stratified_folds(df: DataFrame, id_col: str, label_col: str, k: int = 5, seed: int = 42,
@@ -59,18 +59,21 @@ def tfidf_vocabulary(train: DataFrame, id_col: str, terms_col: str = "terms",
 def fold_vocabularies(df: DataFrame, k: int, terms_col: str = "terms", fold_col: str = "fold",
                       max_features: int = 5000) -> DataFrame:
     """E2 fits of all folds in one pass: (fold, term, n_docs, n_total, idf), the vocabulary of the rows outside
-    each fold. Terms are counted once per (fold, term); what a fold trains on is the total less its
-    own. Every fold keeps its ``max_features`` commonest terms (a running top list per task)."""
-    cube = term_dictionary(df, terms_col, [fold_col])
-    cell = F.struct(F.col("n_docs").alias("d"), F.col("n_total").alias("c"))
-    total = cube.groupBy("term").agg(F.sum("n_docs").alias("_d"), F.sum("n_total").alias("_c"),
-                                     F.map_from_entries(F.collect_list(F.struct(F.col(fold_col), cell))).alias("_own"))
-    each = total.select("term", "_d", "_c", "_own", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("fold"))
-    own = F.try_element_at("_own", F.col("fold"))
-    rest = each.select("fold", "term", (F.col("_d") - F.coalesce(own["d"], F.lit(0))).alias("n_docs"),
-                       (F.col("_c") - F.coalesce(own["c"], F.lit(0))).alias("n_total")).where("n_docs > 0")
-    best = Window.partitionBy("fold").orderBy(F.col("n_total").desc(), "term")
-    kept = rest.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= max_features).drop("_r")
+    each fold. Terms are counted once, in all and for every fold; what a fold trains on is the total less its
+    own. Every fold keeps its ``max_features`` commonest terms: a bounded heap per task over the written
+    counts, so no task sorts its part of the vocabulary."""
+    wide = df.select(fold_col, terms_col).repartition(parts_of(df))
+    first = F.transform(F.array_distinct(terms_col), lambda t: F.struct(t.alias("term"), F.lit(1).alias("d"), F.lit(0).alias("c")))
+    every = F.transform(terms_col, lambda t: F.struct(t.alias("term"), F.lit(0).alias("d"), F.lit(1).alias("c")))
+    rows = wide.select(F.col(fold_col).alias("_f"), F.explode(F.concat(first, every)).alias("_x")).select("_f", "_x.*")
+    own = [F.sum(F.when(F.col("_f") == i, F.col(c)).otherwise(0)).alias(f"_{c}{i}") for i in range(k) for c in "dc"]
+    total = materialize(rows.groupBy("term").agg(F.sum("d").alias("_d"), F.sum("c").alias("_c"), *own), "terms")
+    best = [total.select(F.lit(i).alias("fold"), "term", (F.col("_d") - F.col(f"_d{i}")).cast("long").alias("n_docs"),
+                         (F.col("_c") - F.col(f"_c{i}")).cast("long").alias("n_total")).where("n_docs > 0")
+            .orderBy(F.col("n_total").desc(), "term").limit(max_features) for i in range(k)]
+    kept = best[0]
+    for b in best[1:]:
+        kept = kept.unionByName(b)
     rows = df.groupBy(F.col(fold_col).alias("_f")).agg(F.count(F.lit(1)).alias("_n"))
     folds = df.sparkSession.range(k).select(F.col("id").cast("int").alias("fold"))
     n = folds.join(rows, F.col("fold") != F.col("_f"), "left").groupBy("fold").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_n"))
