@@ -55,3 +55,25 @@ def test_survivors_keep_their_columns(docs_of):
 def test_empty_table(docs_of):
     assert dedup_classes(docs_of([])).count() == 0
     assert exact_dedup(docs_of([])).count() == 0
+
+
+def test_texts_move_once_after_the_classes(spark, tmp_path):
+    """One shuffle of whole rows serves the join and the choice among repeated ones."""
+    rows = [(1, "a"), (1, "a"), (None, "b"), (None, "B"), (2, None), (3, "A")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "docs"))
+    kept = exact_dedup(spark.read.parquet(str(tmp_path / "docs")))
+    assert sorted((r.doc_id or 0, (r.text or "").lower()) for r in kept.collect()) == [(0, "b"), (2, ""), (3, "a")]
+    broad = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        import contextlib
+        import io
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            exact_dedup(spark.read.parquet(str(tmp_path / "docs"))).explain()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broad)
+    # Outer plan: the aggregation of the repeated rows stands on the join without an exchange between.
+    top = out.getvalue().split("SortMergeJoin")[0]
+    assert "Exchange" not in top

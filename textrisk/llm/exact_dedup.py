@@ -77,10 +77,9 @@ def dedup_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 salts: int = SALTS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns. Digest and id are one key, never null, so the
+    join and the choice among repeated rows share one move of the texts."""
     stay = (dedup_classes(docs, id_col, text_col, salts).where("kept")
-            .select(F.col(id_col).alias("_xd_stay"), F.col("digest").alias("_xd_winner")))
-    tagged = docs.withColumn("_xd_digest", sha256_bytes(lower_ascii(F.col(text_col))))
-    return (tagged.join(stay, (tagged["_xd_digest"] == stay["_xd_winner"])
-                        & tagged[id_col].eqNullSafe(stay["_xd_stay"]), "left_semi")
-            .dropDuplicates([id_col, "_xd_digest"]).drop("_xd_digest"))
+            .select(F.struct(F.col("digest").alias("d"), F.col(id_col).alias("i")).alias("_xd_key")))
+    tagged = docs.withColumn("_xd_key", F.struct(sha256_bytes(lower_ascii(F.col(text_col))).alias("d"), F.col(id_col).alias("i")))
+    return tagged.join(stay, "_xd_key", "left_semi").dropDuplicates(["_xd_key"]).drop("_xd_key").select(*docs.columns)
