@@ -168,3 +168,51 @@ def test_signatures_bound_the_overlap(monkeypatch):
             assert true <= got <= true + max(3, size)
     twice = np.array([7 << 48, (7 << 48) + 1, (7 << 48) + 2], dtype=np.uint64)
     assert jaccard_join.overlap_bound(jaccard_join.signature(twice), jaccard_join.signature(twice[:2]), 3, 2) == 2
+
+
+def test_a_pair_is_taken_from_its_first_block(spark, docs_of, as_rows, monkeypatch):
+    """Copies of a text, some with too many edits of their own to link: a pair made one row for each block it shares."""
+    rnd = random.Random(9)
+    source = [f"w{i}" for i in range(200)]
+    rows = [(0, " ".join(source))]
+    for i in range(1, 40):
+        words = list(source)
+        for k in rnd.sample(range(0, 200, 10), 8 if i % 3 else 3):
+            words[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(words)))
+    made, whole = [], jaccard_join._searched
+
+    def counting(blocks, points, percent):
+        found = jaccard_join.written(whole(blocks, points, percent), "found")
+        made.append((found.count(), found.select("a", "b").distinct().count(), blocks.select("cls").distinct().count()))
+        return found
+
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 2)
+    monkeypatch.setattr(jaccard_join, "_searched", counting)
+    assert as_rows(jaccard_components(docs_of(rows))) == brute(rows)
+    found, pairs, classes = made[0]
+    assert classes > 20 and found <= 2 * pairs
+
+
+@pytest.mark.parametrize("before", [0, 1, 4])
+def test_every_linked_pair_is_found(spark, monkeypatch, before):
+    """All pairs of sets that link come out of the search, however few of the blocks before are known."""
+    monkeypatch.setattr(jaccard_join, "BEFORE", before)
+    monkeypatch.setattr(jaccard_join, "LEAF_BLOCK", 7)
+    rnd = np.random.default_rng(11)
+    base = [np.unique(rnd.integers(0, 2 ** 63, size=s).astype(np.uint64)) for s in (5, 40, 120)]
+    sets = []
+    for _ in range(60):
+        s = base[rnd.integers(3)]
+        own = rnd.integers(0, 2 ** 63, size=rnd.integers(0, 1 + len(s) // 6)).astype(np.uint64)
+        sets.append(np.unique(np.concatenate([s[rnd.random(len(s)) > rnd.random() * 0.2], own])))
+    sets = list({s.tobytes(): s for s in sets if len(s)}.values())
+    entries = [(int(k), c, len(s), c, p) for c, s in enumerate(sets) for p, k in enumerate(s[:prefix_length(len(s))])]
+    seen = [k for k, *_ in entries]
+    twice = {k for k in seen if seen.count(k) > 1}
+    blocks = spark.createDataFrame([e for e in entries if e[0] in twice], "key long, cls long, size int, comp long, pos int")
+    points = spark.createDataFrame([(c, jaccard_join._packed(point(s))) for c, s in enumerate(sets)], "cls long, points binary")
+    got = {tuple(r) for r in jaccard_join._searched(blocks, points, 75).select("a", "b").collect()}
+    want = {(a, b) for b in range(len(sets)) for a in range(b)
+            if 100 * (o := len(np.intersect1d(sets[a], sets[b]))) >= 75 * (len(sets[a]) + len(sets[b]) - o)}
+    assert len(want) > 10 and want <= got

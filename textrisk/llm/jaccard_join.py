@@ -17,8 +17,11 @@ the overlap with everything below it.
    component bulk-loads an R-tree over its points and queries it with each of them.
    A long block is cut into runs of ``LEAF_BLOCK`` points by size, and each pair of
    runs whose sizes can link is a task of its own.
-5. A pair stays while shared first hashes + what lies behind them can reach the
-   needed overlap (exact bound); survivors are verified on their whole sets.
+   A pair is taken from the first block it shares, not from each: there, what both sets
+   have from the block's hash on must reach the needed overlap, and so must the blocks both
+   still have + what lies behind their first hashes (exact bounds). A pair that shares one
+   of the ``BEFORE`` open blocks before has been taken already.
+5. The pairs left are ruled out by signatures or verified on their whole sets.
 
 Defined results: null, empty or blank text has the empty set and links with nothing
 (its own component); fewer than ``n`` words are one shingle; every row is a node of its
@@ -30,6 +33,7 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -58,6 +62,7 @@ ROUNDS = 8
 ALIKE = 60  # percent of the first hashes that a class and the pivot it tries share
 SHORT_SET = 4096  # sets up to this size have 16-bit signatures, longer ones 32-bit
 MIX = np.uint64(0x9E3779B97F4A7C15)
+BEFORE = 4  # open blocks of a class before a block that tell whether a pair shares an earlier one
 CACHE_WORDS = 150_000
 
 
@@ -135,11 +140,13 @@ class CountForest:
     in order of set size, every node keeps its maximum corner and its range of sizes.
     All queries of all blocks go down together, level by level."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, percent: int = PERCENT):
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, percent: int = PERCENT,
+                 left: np.ndarray | None = None):
+        """``left``: how many hashes of each set a partner can have at most (none given: all)."""
         self.percent, self.order = percent, np.lexsort((sizes, blocks))
         corner, low, block = points[self.order], sizes[self.order], blocks[self.order]
-        high = low
-        self.levels = [(corner, low, high, None, None)]
+        high, most = low, (sizes if left is None else left)[self.order]
+        self.levels = [(corner, low, high, most, None, None)]
         while True:
             starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
             if len(starts) == len(block) and len(self.levels) > 1:
@@ -149,27 +156,30 @@ class CountForest:
             first = np.repeat(starts, nodes) + LEAF * _count_up(nodes)
             count = np.diff(np.r_[first, len(block)])
             corner = np.maximum.reduceat(corner, first, axis=0)
-            low, high = np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
+            low, high, most = np.minimum.reduceat(low, first), np.maximum.reduceat(high, first), np.maximum.reduceat(most, first)
             block = np.repeat(block[starts], nodes)
-            self.levels.append((corner, low, high, first, count))
+            self.levels.append((corner, low, high, most, first, count))
         self.root = block
 
-    def search(self, points: np.ndarray, sizes: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, point) positions of all pairs of a block whose bound lets them link."""
-        out = [self._search(points, sizes, blocks, np.arange(a, min(a + QUERIES, len(sizes))))
+    def search(self, points: np.ndarray, sizes: np.ndarray, blocks: np.ndarray,
+               left: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(query, point) positions of all pairs of a block whose bounds let them link."""
+        left = sizes if left is None else left
+        out = [self._search(points, sizes, blocks, left, np.arange(a, min(a + QUERIES, len(sizes))))
                for a in range(0, len(sizes), QUERIES)]
         return (np.concatenate([q for q, _ in out]), np.concatenate([p for _, p in out])) if out else (
             np.empty(0, dtype=np.int64),) * 2
 
-    def _search(self, points, sizes, blocks, q):
+    def _search(self, points, sizes, blocks, left, q):
         at = np.searchsorted(self.root, blocks[q])
         known = (at < len(self.root)) & (self.root[np.minimum(at, len(self.root) - 1)] == blocks[q])
         q, at = q[known], at[known]
-        for corner, low, high, first, count in reversed(self.levels):
+        for corner, low, high, most, first, count in reversed(self.levels):
             size = sizes[q]
-            fits = (100 * high[at] >= self.percent * size) & (self.percent * low[at] <= 100 * size)
-            q, at, size = q[fits], at[fits], size[fits]
             need = needed(np.maximum(low[at], -(-self.percent * size // 100)), size, self.percent)
+            fits = ((100 * high[at] >= self.percent * size) & (self.percent * low[at] <= 100 * size)
+                    & (np.minimum(most[at], left[q]) >= need))
+            q, at, need = q[fits], at[fits], need[fits]
             need = np.minimum(need, MOST * corner.shape[1])  # sets too large for a point pass
             keep = np.concatenate([np.minimum(corner[at[i:i + PAIRS]], points[q[i:i + PAIRS]]).sum(axis=1, dtype=np.int64)
                                    for i in range(0, len(q), PAIRS)] or [np.empty(0)]) >= need
@@ -360,11 +370,18 @@ def components(links: DataFrame) -> DataFrame:
             return moved.select("node", F.col("next").alias("label"))
 
 
-def _cross_pairs(blocks: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """(a, b, shared): pairs of different components that share a block, pass the
-    tree's bound and can still reach the needed overlap."""
+def _searched(blocks: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of different components that share a block and pass the tree's bounds, from the first block
+    they share. No hash before that block's is in both sets, so that each must have enough of the
+    needed overlap from there on (``left``, and of open blocks ``more``). In a later block a pair may come again, where neither has a block
+    in common with the other among its last ``BEFORE``."""
     by_size = Window.partitionBy("key").orderBy("size", "cls")
-    rows = blocks.withColumn("run", F.floor((F.row_number().over(by_size) - 1) / LEAF_BLOCK).cast("int"))
+    by_place = Window.partitionBy("cls").orderBy("pos")
+    place = F.row_number().over(by_place) - 1
+    rows = blocks.select("key", "cls", "size", "comp", (F.col("size") - F.col("pos")).alias("left"), (
+        F.count(F.lit(1)).over(Window.partitionBy("cls")) - place).alias("more"), F.least(place, F.lit(BEFORE)).alias("known"), *(
+        F.coalesce(F.lag("key", k + 1).over(by_place), F.lit(0)).alias(f"before{k}") for k in range(BEFORE)))
+    rows = rows.withColumn("run", F.floor((F.row_number().over(by_size) - 1) / LEAF_BLOCK).cast("int"))
     spans = rows.groupBy("key", "run").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
     left = spans.select("key", "run", "lo", "hi")
     right = spans.select(F.col("key").alias("k2"), F.col("run").alias("run2"), F.col("lo").alias("lo2"))
@@ -375,19 +392,30 @@ def _cross_pairs(blocks: DataFrame, points: DataFrame, percent: int) -> DataFram
                          F.explode(F.array_distinct(F.array("run", "run2"))).alias("run"))
     dealt = rows.join(sides, ["key", "run"]).join(points, "cls")
 
+    earlier = [f"before{k}" for k in range(BEFORE)]
+
     def search(f: pd.DataFrame) -> pd.DataFrame:
         pts = _unpacked(f["points"])
-        sizes, comp, cls, run = (f[c].to_numpy() for c in ("size", "comp", "cls", "run"))
+        sizes, comp, cls, run, left, more, known = (
+            f[c].to_numpy() for c in ("size", "comp", "cls", "run", "left", "more", "known"))
+        before = [f[c].to_numpy() for c in earlier]
         tile = f.groupby(["key", "r1", "r2"], sort=False).ngroup().to_numpy()
         index, query = np.flatnonzero(run == f["r2"].to_numpy()), np.flatnonzero(run == f["r1"].to_numpy())
-        forest = CountForest(pts[index], sizes[index], tile[index], percent)
-        i, j = forest.search(pts[query], sizes[query], tile[query])
+        forest = CountForest(pts[index], sizes[index], tile[index], percent, left[index])
+        i, j = forest.search(pts[query], sizes[query], tile[query], left[query])
         i, j = query[i], index[j]
         fits = (comp[i] != comp[j]) & ((run[i] != run[j]) | (cls[i] < cls[j]))
         i, j = i[fits], j[fits]
+        behind = -(-percent * np.maximum(sizes[i], sizes[j]).astype(np.int64) // 100) - 1
+        fits = np.minimum(more[i], more[j]) + behind >= needed(sizes[i].astype(np.int64), sizes[j], percent)
+        i, j = i[fits], j[fits]
+        taken = np.zeros(len(i), dtype=bool)
+        for x, y in itertools.product(range(BEFORE), repeat=2):
+            taken |= (before[x][i] == before[y][j]) & (x < known[i]) & (y < known[j])
+        i, j = i[~taken], j[~taken]
         swap = cls[i] > cls[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
-        return pd.DataFrame({"a": cls[i], "b": cls[j], "sa": sizes[i], "sb": sizes[j]})
+        return pd.DataFrame({"a": cls[i], "b": cls[j]})
 
     def search_all(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come in order of their tile; a batch is searched up to its last whole tile
@@ -403,10 +431,8 @@ def _cross_pairs(blocks: DataFrame, points: DataFrame, percent: int) -> DataFram
             yield search(rest.reset_index(drop=True))
 
     tile = ["key", "r1", "r2"]
-    found = dealt.select("cls", "size", "comp", "run", "points", *tile).repartition(*tile).sortWithinPartitions(
-        *tile).mapInPandas(search_all, "a long, b long, sa long, sb long")
-    pairs = found.groupBy("a", "b", "sa", "sb").agg(F.count(F.lit(1)).alias("shared"))
-    return pairs.where(_reachable(percent)).select("a", "b")
+    return dealt.select("cls", "size", "left", "more", "known", *earlier, "comp", "run", "points", *tile).repartition(
+        *tile).sortWithinPartitions(*tile).mapInPandas(search_all, "a long, b long")
 
 
 def _reachable(percent: int):
@@ -460,7 +486,7 @@ def _first_links(blocks: DataFrame, texts: DataFrame, classes: DataFrame, n: int
 
 def _with_components(blocks: DataFrame, parts: DataFrame) -> DataFrame:
     return blocks.join(parts.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "key", "cls", "size", F.coalesce("label", "cls").alias("comp"))
+        "key", "cls", "size", F.coalesce("label", "cls").alias("comp"), "pos")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -473,9 +499,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = written(rows.where("size > 0 and doc is not null").groupBy("cls").agg(
         F.min("doc").alias("rep"), F.first("half").alias("half")), "classes")
     near = Window.partitionBy("key").orderBy("cls")
-    entries = (sets.where("keys is not null").select(F.explode("keys").alias("key"), "cls", F.col("size").cast("int"))
+    entries = (sets.where("keys is not null").select(F.posexplode("keys").alias("pos", "key"), "cls", F.col("size").cast("int"))
                .withColumn("prev", F.lag("cls").over(near)).withColumn("next", F.lead("cls").over(near)))
-    blocks = written(entries.where("prev <> cls or next <> cls").select("key", "cls", "size").distinct(), "blocks")
+    blocks = written(entries.where("prev <> cls or next <> cls").select("key", "cls", "size", "pos").distinct(), "blocks")
     points = written(sets.where("points is not null").join(blocks.select("cls").distinct(), "cls", "left_semi")
                      .select("cls", "points").dropDuplicates(["cls"]), "points")
     dropped(sets)
@@ -484,7 +510,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     mixed = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     open_blocks = written(tagged.join(mixed.select("key"), "key", "left_semi"), "open-blocks")
     dropped(blocks)
-    more = _verified(_cross_pairs(open_blocks, points, percent), texts, classes, n, percent)
+    more = _verified(_searched(open_blocks, points, percent).distinct(), texts, classes, n, percent)
     dropped(open_blocks, points)
     label = components(links.union(more)).withColumnRenamed("node", "cls")
     named = classes.join(label, "cls", "left").withColumn("part", F.coalesce("label", "cls"))
