@@ -103,3 +103,13 @@ def test_time_grows_with_the_text(docs_of):
             assert len(row.base_spans) == 20_000
         else:
             assert [(s.start, s.end) for s in row.all_spans] == [(0, 100_000)]
+
+
+def test_spans_go_on_across_blocks_of_matches(docs_of):
+    """Spans are listed by blocks: their places and order do not depend on where a block ends."""
+    import re
+    texts = [" é ".join(f"{j:016x}" for j in range(n)) for n in (1, 127, 128, 129, 257)]
+    got = {r.doc_id: r for r in scan_secrets(docs_of(list(enumerate(texts)))).collect()}
+    for i, text in enumerate(texts):
+        want = [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]{16,}", text)]
+        assert [(s.kind, s.start, s.end) for s in got[i].base_spans] == want

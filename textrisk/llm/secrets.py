@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from textrisk.llm.common import table
 
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
+BLOCK = 128  # matches listed together: a step of a fold copies the list it adds to
 
 # The base patterns, in the order in which kinds are listed.
 ASSIGN = (r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -73,11 +74,18 @@ def _spans(gaps: Column, hits: Column, kept: Column, kind: str, rank: int, least
         end = start + F.char_length(_from(hits, i))
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"))
         fits = F.char_length(_from(kept, i)) >= least
-        return F.struct(end.alias("at"), F.when(fits, F.concat(state["out"], F.array(span)))
-                        .otherwise(state["out"]).cast(SPAN).alias("out"))
+        # Cast the one span: a cast of the list would copy all spans so far at every step.
+        return F.struct(end.alias("at"), F.when(fits, F.concat(state["out"], F.array(span).cast(SPAN)))
+                        .otherwise(state["out"]).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    return F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), start, step)["out"]
+    def block(state: Column, first: Column) -> Column:
+        start = F.struct(state["at"].alias("at"), F.array().cast(SPAN).alias("out"))
+        inside = F.sequence(first, F.least(first + BLOCK - 1, F.size(hits) - 1))
+        return let(F.aggregate(inside, start, step), lambda s: F.struct(
+            s["at"].alias("at"), F.concat(state["out"], F.array(s["out"]).cast(f"array<{SPAN}>")).alias("out")))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    return F.flatten(F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1, F.lit(BLOCK)), start, block)["out"])
 
 
 def matches(text: Column, pattern: str, kind: str, rank: int, group: int = 0, least: int = 1) -> Column:
@@ -112,12 +120,17 @@ def dense_windows(word: Column, window: int, bits: float) -> Column:
         def step(state: Column, i: Column) -> Column:
             came = _from(codes, i)
             gone = F.when(i >= window, _from(codes, i - window))
-            more, less = held(i, came), held(i, gone)
-            left = F.when(gone.isNull(), F.lit(0.0)).otherwise(_term(less) - _term(less + 1))
-            total = F.when(came == gone, state["s"]).otherwise(state["s"] + left + _term(more + 1) - _term(more))
-            dense = (i >= window - 1) & (total <= enough)
-            return F.struct(total.alias("s"), F.when(dense, F.coalesce(state["lo"], i - window + 1)).otherwise(state["lo"]).alias("lo"),
-                            F.when(dense, i + 1).otherwise(state["hi"]).alias("hi"))
+
+            def changed(more: Column, less: Column) -> Column:
+                left = F.when(gone.isNull(), F.lit(0.0)).otherwise(_term(less) - _term(less + 1))
+                return F.when(came == gone, state["s"]).otherwise(state["s"] + left + _term(more + 1) - _term(more))
+
+            def state_of(total: Column) -> Column:
+                dense = (i >= window - 1) & (total <= enough)
+                return F.struct(total.alias("s"), F.when(dense, F.coalesce(state["lo"], i - window + 1)).otherwise(state["lo"]).alias("lo"),
+                                F.when(dense, i + 1).otherwise(state["hi"]).alias("hi"))
+
+            return let(let(held(i, came), lambda more: let(held(i, gone), lambda less: changed(more, less))), state_of)
 
         start = F.struct(F.lit(0.0).alias("s"), F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi"))
         end = F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), start, step)
@@ -128,7 +141,7 @@ def dense_windows(word: Column, window: int, bits: float) -> Column:
 
 def _piece(start: Column, end: Column, of: Column) -> Column:
     return F.array(F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"),
-                            of["word"].alias("word"), of["origin"].alias("origin")))
+                            of["word"].alias("word"), of["origin"].alias("origin"))).cast(PIECES)
 
 
 def outside(places: Column, base: Column) -> Column:
@@ -147,7 +160,7 @@ def outside(places: Column, base: Column) -> Column:
         return F.struct(F.when(covers, F.greatest(state["at"], e["end"])).otherwise(F.greatest(e["start"], covered)).alias("at"),
                         F.when(covers, state["end"]).otherwise(e["end"]).alias("end"), covered.alias("covered"),
                         F.when(covers, state["word"]).otherwise(e["word"]).alias("word"),
-                        F.when(covers, state["origin"]).otherwise(e["start"]).alias("origin"), out.cast(PIECES).alias("out"))
+                        F.when(covers, state["origin"]).otherwise(e["start"]).alias("origin"), out.alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("end"), F.lit(0).alias("covered"), none.alias("word"),
                      none.alias("origin"), F.array().cast(PIECES).alias("out"))
@@ -163,7 +176,7 @@ def open_runs(piece: Column, word: Column, allow: str) -> Column:
         harmless = segment.rlike(allow) & (F.char_length(segment) >= SHORT)
         return F.struct((end + 1).alias("at"), F.when(harmless, end + 1).otherwise(state["run"]).cast("int").alias("run"),
                         F.when(harmless, F.concat(state["out"], _piece(state["run"], state["at"], piece)))
-                        .otherwise(state["out"]).cast(PIECES).alias("out"))
+                        .otherwise(state["out"]).alias("out"))
 
     start = F.struct(piece["start"].alias("at"), piece["start"].alias("run"), F.array().cast(PIECES).alias("out"))
     runs = F.aggregate(F.split(word, "/", -1), start, step,
