@@ -104,3 +104,27 @@ def test_cells_of_equal_topics_are_counted_exactly(spark):
                    (1, 1, "red"): 1, (1, 1, "fox"): 1, (1, 1, "red fox"): 1,
                    (2, 5, "red"): 2, (2, 5, "fox"): 2, (2, 5, "red fox"): 2, (2, 5, "fox red"): 1,
                    (2, 6, "red"): 1, (2, 6, "dog"): 1, (2, 6, "red dog"): 1}
+
+
+def test_term_sums_need_no_shuffle(spark, capsys):
+    """Counts carry the sum of their term, written in one place: weights need no exchange by term, and are the same."""
+    prep = spark.createDataFrame([(1, 0, "red fox"), (2, 0, "red dog"), (3, 1, "fox den"), (4, None, "red den"), (5, -1, "")],
+                                 "doc_id long, topic int, finalized string")
+    counts = TP.class_term_counts(prep, "topic", "doc_id", "finalized", stopwords=[])
+    assert "hashpartitioning(term" not in plan_of(TP.class_tfidf(counts), capsys)
+    want = {(r.topic, r.term): r.weight for r in TP.class_tfidf(counts.drop("_f")).collect()}
+    assert {(r.topic, r.term): r.weight for r in TP.class_tfidf(counts).collect()} == want
+    asg = prep.select(F.explode(F.array(F.lit(7), F.lit(8))).alias("setting"), "doc_id",
+                      F.coalesce("topic", F.lit(2)).alias("topic")).where("setting = 7 or doc_id < 4")
+    counts = SW.setting_term_counts(prep, asg)
+    assert "term" not in "".join(x for x in plan_of(SW.setting_weights(counts), capsys).splitlines() if "Exchange hash" in x)
+    want = {tuple(r)[:3]: r.weight for r in SW.setting_weights(counts.drop("_f")).collect()}
+    assert {tuple(r)[:3]: r.weight for r in SW.setting_weights(counts).collect()} == want
+
+
+def test_prepared_texts_are_written_once(spark):
+    """The files hold the tokens; the finalized text comes from them."""
+    from textrisk.plans.topics import prepared
+    prep = prepared(spark, "/root/testdata/sf0.001")
+    assert spark.read.parquet(*prep.inputFiles()).columns == ["doc_id", "topic", "tokens"]
+    assert prep.where("finalized <> array_join(tokens, ' ') or trim(finalized) = ''").isEmpty()
